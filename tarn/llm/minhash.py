@@ -9,10 +9,12 @@ M / (m + n - M), the shingles' Jaccard similarity for texts whose passages keep
 alignment is the longest common subsequence of the shingle sequences after trimming common ends, bit-parallel, within
 the band outside of which no alignment could reach the threshold.
 
-No pair of a bucket's members is emitted wholesale. Equal texts collapse to one node first. Each text is verified against one
-representative of its fullest bucket, links give components, and only for buckets that still hold several components
-are members compared across components, inside blocks, by their sketches; pairs that could reach the threshold
-are verified and added to the links.
+No pair of a bucket's members is emitted wholesale. Equal texts collapse to one node first. Each bucket has a head, the
+member that shares buckets with most others, and members are verified against their heads only; links give
+components. Where a bucket still holds several components, members are compared across components inside blocks, by
+their sketches and by their distances to the head: shingle Jaccard distance is a metric that never exceeds the
+aligned one, so two texts whose distances to a head differ by more than 0.2 can't be linked. What is left is verified and
+added to the links.
 
 Defined results: null texts are empty; texts without words are each a class of their own; texts of fewer than five
 words have one shingle of all of them; equal texts with words share a class; rows that repeat id and text are
@@ -157,14 +159,29 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return got / (total - got) if got >= max(1, least) else 0.0
 
 
-def _grams(texts: list[str]) -> list[np.ndarray]:
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, its shingles in order, and its shingles labelled with their occurrence, sorted."""
     gram, doc, _ = shingles(words(pa.array(texts, pa.large_string()), SPACED), K)
-    return np.split(gram, np.searchsorted(doc, np.arange(1, len(texts)))) if texts else []
+    labelled = mix(gram ^ (occurrences(doc, gram).astype(U) * BASE))
+    edges = np.searchsorted(doc, np.arange(1, len(texts)))
+    return [(g, np.sort(x)) for g, x in zip(np.split(gram, edges), np.split(labelled, edges), strict=True)] if texts else []
+
+
+VERIFIED = "a binary, b binary, similarity double, jaccard double"
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
+        held: dict[bytes, tuple] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -177,19 +194,18 @@ def _verify(threshold: float):
                         if x not in held and x not in need:
                             need[x] = column[r].as_py()
                 held |= dict(zip(need, _grams(list(need.values())), strict=True))
-                found = [similarity(held[x], held[y], threshold) for x, y in zip(*ids, strict=True)]
-                keep = [j for j, s in enumerate(found) if s > 0]
-                if keep:
-                    yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep)), pa.array([found[j] for j in keep])], names=["a", "b", "similarity"])
+                content = [jaccard(held[x][1], held[y][1]) for x, y in zip(*ids, strict=True)]
+                aligned = [similarity(held[x][0], held[y][0], threshold) if j >= threshold - 1e-9 else 0.0 for x, y, j in zip(*ids, content, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(aligned, pa.float64()), pa.array(content, pa.float64())], names=["a", "b", "similarity", "jaccard"])
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of `pairs` (a, b) whose similarity reaches the threshold."""
+    """`pairs` (a, b) with their aligned similarity, 0 below the threshold, and their shingles' Jaccard similarity."""
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
+    return both.mapInArrow(_verify(threshold), VERIFIED)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +224,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.unique(np.array([h[2] for h in held], object), return_inverse=True)[1]
         side = np.array([h[3] for h in held])
         size = np.array([h[4] for h in held])
+        near = np.array([h[5] for h in held])
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(held)),) * 2
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
@@ -215,6 +232,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (shared >= LEAST_SHARED) & (kind[rows][:, None] != kind[right][None, :])
             small, large = np.minimum(size[rows][:, None], size[right][None, :]), np.maximum(size[rows][:, None], size[right][None, :])
             ok &= small >= THRESHOLD * large
+            ok &= np.abs(near[rows][:, None] - near[right][None, :]) <= 1 - THRESHOLD + 1e-9
             x, y = np.nonzero(ok)
             pairs = sorted({tuple(sorted((held[rows[p]][0], held[right[q]][0]))) for p, q in zip(x.tolist(), y.tolist(), strict=True)})
             if pairs:
@@ -222,7 +240,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys = zip(batch.column("bucket").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
-        rows = zip(*(batch.column(c).to_pylist() for c in ("node", "sketch", "component", "side", "n")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("node", "sketch", "component", "side", "n", "near")), strict=True)
         for key, row in zip(keys, rows, strict=True):
             if key != now:
                 yield from flush()
@@ -242,30 +260,35 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     nodes = rows.filter("sketch is not null").dropDuplicates(["node"]).select("node", "n", "sketch")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *(F.get(F.col("sketch"), b * ROWS + r) for r in range(ROWS)))))
     members = cut(nodes.select("node", band.alias("bucket")))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    members = cut(members.join(buckets, "bucket"))  # of buckets with several members
-    # first round: each text with the head of the bucket that it shares with most others' bands
-    heads = members.filter("node != head").groupBy("node", "head").agg(F.count("*").alias("bands"))
-    best = heads.groupBy("node").agg(F.max(F.struct("bands", "head")).alias("best"))
-    pairs = best.select(F.col("node").alias("a"), F.col("best.head").alias("b"))
+    counts = members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    members = cut(members.join(counts, "bucket"))  # of buckets with several members
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    weighed = members.join(weight, "node")
+    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    members = cut(members.join(heads, "bucket"))
+    # first round: each text with the heads of its buckets
+    pairs = members.filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     named = members.select("node").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
     texts = table(hashed.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     first = cut(verified(pairs, texts, threshold))
-    component = connected(first)
+    linked = first.filter("similarity > 0")
+    component = connected(linked)
     # second round: members of other components that share a bucket
-    placed = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(component, "node", "left").select("bucket", "node", "head", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low != high")
-    dealt = placed.join(mixed.select("bucket", "members"), "bucket")
+    near = first.select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
+    dealt = placed.join(mixed.select("bucket", "members"), "bucket").join(near, ["node", "head"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("blocks", blocks).withColumn("own", own).join(nodes, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("bucket", "node", "component", "sketch", "n", "own", other.alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "n")
+    dealt = dealt.select("bucket", "node", "component", "sketch", "n", "near", "own", other.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "near")
     across = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a binary, b binary").distinct()
-    return first.union(verified(cut(across), texts, threshold)).select("a", "b")
+    second = verified(cut(across), texts, threshold).filter("similarity > 0")
+    return linked.union(second).select("a", "b")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
