@@ -91,11 +91,11 @@ _Z = ", ".join(f"(p.{x} - m.{x}_m) / CASE WHEN m.{x}_s < 1e-8 THEN 1.0 ELSE coal
 for _n in ("join_clim", "zscore_clim"):
     query(_n, f"SELECT p.region_id, p.ordinal, {_Z} FROM panel p LEFT JOIN (SELECT region_id, month, {_CLIM} FROM panel GROUP BY 1, 2) m ON p.region_id = m.region_id AND p.month = m.month", lambda s, d: (lambda p: clim.zscores(p, clim.monthly(p, COLS), COLS).select(*KEY, *(f"{x}_z" for x in COLS)))(panel(s, d)), " ".join(f"{x}_z" for x in COLS))
 _ZG = ", ".join(f"(p.{x} - coalesce(m.{x}_m, g.{x}_gm)) / CASE WHEN coalesce(m.{x}_s, g.{x}_gs) < 1e-8 THEN 1.0 ELSE coalesce(m.{x}_s, g.{x}_gs, 1.0) END AS {x}_z" for x in COLS)
-_HALF = f"(SELECT region_id, month, {_CLIM} FROM panel WHERE month <= 6 GROUP BY 1, 2)"
-query("join_clim_global", f"SELECT p.region_id, p.ordinal, {_ZG} FROM panel p LEFT JOIN {_HALF} m ON p.region_id = m.region_id AND p.month = m.month, (SELECT {', '.join(f'avg({x}_m) AS {x}_gm, avg({x}_s) AS {x}_gs' for x in COLS)} FROM {_HALF}) g", lambda s, d: (lambda p: clim.zscores(p, clim.monthly(p.filter("month <= 6"), COLS), COLS, True).select(*KEY, *(f"{x}_z" for x in COLS)))(panel(s, d)), " ".join(f"{x}_z" for x in COLS))
+_HALF = f"(SELECT region_id, month, {_CLIM} FROM {SPLIT} WHERE split = 'train' GROUP BY 1, 2)"
+query("join_clim_global", f"SELECT p.region_id, p.ordinal, {_ZG} FROM panel p LEFT JOIN {_HALF} m ON p.region_id = m.region_id AND p.month = m.month, (SELECT {', '.join(f'avg({x}_m) AS {x}_gm, avg({x}_s) AS {x}_gs' for x in COLS)} FROM {_HALF}) g", lambda s, d: (lambda p: clim.zscores(p, clim.monthly(weekly.hide_last(p).filter("split = 'train'"), COLS), COLS, True).select(*KEY, *(f"{x}_z" for x in COLS)))(panel(s, d)), " ".join(f"{x}_z" for x in COLS))
 query("map_region", "SELECT w.region_id, ordinal, mean AS mean_score FROM weekly w LEFT JOIN means m ON w.region_id = m.region_id", lambda s, d: clim.with_lookup(weekly_rows(s, d), clim.means(panel(s, d), [R]), [R]).select(*KEY, "mean_score"), "mean_score")
 query("map_region_month", "SELECT p.region_id, ordinal, s.mean AS mean_score FROM panel p LEFT JOIN season s ON p.region_id = s.region_id AND p.month = s.month", lambda s, d: (lambda p: clim.with_lookup(p, clim.means(weekly.labelled(p), [R, "month"]), [R, "month"]).select(*KEY, "mean_score"))(panel(s, d)), "mean_score")
-query("map_dict_fallback", "SELECT p.region_id, ordinal, coalesce(s.mean, m.mean, 0) AS x FROM panel p LEFT JOIN (SELECT * FROM season WHERE month <= 9) s ON p.region_id = s.region_id AND p.month = s.month LEFT JOIN (SELECT region_id, avg(score) AS mean FROM labelled WHERE month <= 9 GROUP BY 1) m ON p.region_id = m.region_id", lambda s, d: (lambda p: clim.seasonal_mean(p, weekly.labelled(p).filter("month <= 9"), to="x").select(*KEY, "x"))(panel(s, d)), "x")
+query("map_dict_fallback", "SELECT p.region_id, ordinal, coalesce(s.mean, m.mean, 0) AS x FROM panel p LEFT JOIN (SELECT region_id, month, avg(score) AS mean FROM " + SPLIT + " WHERE split = 'train' AND score IS NOT NULL GROUP BY 1, 2) s ON p.region_id = s.region_id AND p.month = s.month LEFT JOIN (SELECT region_id, avg(score) AS mean FROM " + SPLIT + " WHERE split = 'train' GROUP BY 1) m ON p.region_id = m.region_id", lambda s, d: (lambda p: clim.seasonal_mean(p, weekly.labelled(weekly.hide_last(p)), to="x").select(*KEY, "x"))(panel(s, d)), "x")
 _WEEK = "((month - 1) * 31 + day) // 7"
 query("map_week_fallback", f"SELECT p.region_id, ordinal, coalesce(s.mean, m.mean, 0) AS x FROM panel p LEFT JOIN (SELECT region_id, {_WEEK} AS week, avg(score) AS mean FROM labelled GROUP BY 1, 2) s ON p.region_id = s.region_id AND {_WEEK} = s.week LEFT JOIN means m ON p.region_id = m.region_id", lambda s, d: (lambda p: clim.seasonal_mean(p, weekly.labelled(p), "week", "x", "week").select(*KEY, "x"))(panel(s, d).withColumn("week", F.floor(((c("month") - 1) * 31 + c("day")) / 7))), "x")
 query("join_region_stats", "SELECT w.region_id, ordinal, a AS region_mean, b AS region_median, e AS region_std FROM weekly w LEFT JOIN (SELECT region_id, avg(score) AS a, median(score) AS b, coalesce(stddev_samp(score), 0) AS e FROM panel GROUP BY 1) m ON w.region_id = m.region_id", lambda s, d: clim.with_lookup(weekly_rows(s, d), clim.region_statistics(panel(s, d)), [R]).select(*KEY, "region_mean", "region_median", "region_std"), "region_mean region_median region_std")

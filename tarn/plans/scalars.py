@@ -166,4 +166,4 @@ query("region_num", "SELECT DISTINCT region_id, CAST(regexp_extract('R' || regio
 query("strip_id", "SELECT DISTINCT trim(' R' || region_id || ' ') AS id FROM panel", lambda s, d: panel(s, d).select(F.trim(F.concat(F.lit(" R"), c("region_id").cast("string"), F.lit(" "))).alias("id")).distinct())
 query("fill_ffill_bfill", f"SELECT {K}, coalesce(last_value(score IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(score IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS score FROM panel", lambda s, d: panel(s, d).select(*KEY, rolling.fill_both("score").alias("score")), "score")
 query("fill_zero", f"SELECT {K}, coalesce(score, 0) AS score FROM panel", lambda s, d: panel(s, d).select(*KEY, F.coalesce("score", F.lit(0.0)).alias("score")), "score")
-query("semi_regions", "SELECT DISTINCT region_id FROM panel WHERE year = 1996 AND region_id IN (SELECT region_id FROM panel WHERE year = 2000)", lambda s, d: (lambda p: p.filter("year = 1996").select("region_id").distinct().join(p.filter("year = 2000"), ["region_id"], "left_semi"))(panel(s, d)))
+query("semi_regions", "SELECT DISTINCT region_id FROM labelled WHERE region_id IN (SELECT region_id FROM panel WHERE score IS NULL)", lambda s, d: (lambda p: weekly.labelled(p).select("region_id").distinct().join(p.filter("score is null"), ["region_id"], "left_semi"))(panel(s, d)))
