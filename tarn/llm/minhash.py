@@ -10,11 +10,10 @@ alignment is the longest common subsequence of the shingle sequences after trimm
 the band outside of which no alignment could reach the threshold.
 
 No pair of a bucket's members is emitted wholesale. Equal texts collapse to one node first. Each bucket has a head, the
-member that shares buckets with most others, and members are verified against their heads only; links give
-components. Where a bucket still holds several components, members are compared across components inside blocks, by
-their sketches and by their distances to the head: shingle Jaccard distance is a metric that never exceeds the
-aligned one, so two texts whose distances to a head differ by more than 0.2 can't be linked. What is left is verified and
-added to the links.
+member that shares buckets with most others; first, members are verified against their heads only, and links give
+components. Then, where the members of a head's buckets still fall into several components, they are compared across
+components inside blocks: a product of incidence matrices counts the shingles that each pair shares, pairs that
+reach the threshold are aligned, and a block reports no more links than join its components.
 
 Defined results: null texts are empty; texts without words are each a class of their own; texts of fewer than five
 words have one shingle of all of them; equal texts with words share a class; rows that repeat id and text are
@@ -38,11 +37,11 @@ from .words import BASE, SPACED, U, mix, occurrences, passes, shingles, words
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 2
 COORDINATES = BANDS * ROWS
-#: Coordinates that two texts must share before alignment. At similarity 0.8 a pair shares 25.6 of 40 on average with a
-#: deviation of 3.0, so this misses one such pair in about 1,000 in the second round only.
-LEAST_SHARED = 15
-#: Members of a bucket that one block holds.
-BLOCK = 256
+#: The second round looks at members with at least this similarity to the head: texts that reach the threshold share
+#: two bands of five, and some of the heads of these resemble them.
+HEAD_SHARE = 0.3
+#: Shingles of a head's members that one block holds.
+BLOCK = 300_000
 
 _seeds = np.random.default_rng(7)
 ODD = _seeds.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -208,45 +207,87 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.mapInArrow(_verify(threshold), VERIFIED)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket's members of different components whose sketches agree enough.
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair of sorted sets has in common."""
+    every = np.concatenate([*left, *right])
+    value, count = np.unique(every, return_counts=True)
+    value = value[count > 1]  # the others are in one set only
+    out = np.zeros((len(left), len(right)), np.float32)
 
-    Rows come sorted by bucket and block pair; side 0 rows are compared with side 1 rows, or, where both blocks are the
-    same, with each other.
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets)
+        col = np.minimum(np.searchsorted(value, flat), max(len(value) - 1, 0))
+        ok = value[col] == flat if len(value) else np.zeros(len(flat), bool)
+        return row[ok], col[ok]
+
+    (lr, lc), (rr, rc) = places(left), places(right)
+    for c in range(0, len(value), 4096):
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        for m, r, k in ((x, lr, lc), (y, rr, rc)):
+            ok = (k >= c) & (k < c + 4096)
+            m[r[ok], k[ok] - c] = 1
+        out += x @ y.T
+    return out
+
+
+def _across(threshold: float):
+    """Links of one head's members across components; rows come sorted by head and block pair.
+
+    Side 0 rows are compared with side 1 rows, or, where both blocks are the same, with each other.
     """
-    held: list[tuple] = []
-    now = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        sketch = np.array([h[1] for h in held], np.int32)
-        kind = np.unique(np.array([h[2] for h in held], object), return_inverse=True)[1]
-        side = np.array([h[3] for h in held])
-        size = np.array([h[4] for h in held])
-        near = np.array([h[5] for h in held])
+
+    def compare(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        parent = {h[1]: h[1] for h in held}
+        if len(parent) < 2:
+            return []
+
+        def root(x: bytes) -> bytes:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        grams = _grams(_lower(pa.array([h[4] for h in held], pa.string())).to_pylist())
+        side, near = np.array([h[2] for h in held]), np.array([h[3] for h in held])
+        kind = np.unique(np.array([h[1] for h in held], object), return_inverse=True)[1]
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(held)),) * 2
-        for i in range(0, len(left), 64):
-            rows = left[i : i + 64]
-            shared = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(2)
-            ok = (shared >= LEAST_SHARED) & (kind[rows][:, None] != kind[right][None, :])
-            small, large = np.minimum(size[rows][:, None], size[right][None, :]), np.maximum(size[rows][:, None], size[right][None, :])
-            ok &= small >= THRESHOLD * large
-            ok &= np.abs(near[rows][:, None] - near[right][None, :]) <= 1 - THRESHOLD + 1e-9
+        size = np.array([len(g[1]) for g in grams])
+        out = []
+        for i in range(0, len(left), 512):
+            rows = left[i : i + 512]
+            both = shared_counts([grams[r][1] for r in rows], [grams[r][1] for r in right])
+            share = both / (size[rows][:, None] + size[right][None, :] - both)
+            ok = (share >= threshold - 1e-6) & (kind[rows][:, None] != kind[right][None, :])
+            ok &= np.abs(near[rows][:, None] - near[right][None, :]) <= 1 - threshold + 1e-6
             x, y = np.nonzero(ok)
-            pairs = sorted({tuple(sorted((held[rows[p]][0], held[right[q]][0]))) for p, q in zip(x.tolist(), y.tolist(), strict=True)})
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+            for p, q in zip(*(v[np.argsort(-share[x, y], kind="stable")].tolist() for v in (x, y)), strict=True):
+                a, b = held[rows[p]], held[right[q]]
+                if root(a[1]) != root(b[1]) and similarity(grams[rows[p]][0], grams[right[q]][0], threshold):
+                    parent[root(a[1])] = root(b[1])
+                    out.append((a[0], b[0]))
+        return out
 
-    for batch in batches:
-        keys = zip(batch.column("bucket").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
-        rows = zip(*(batch.column(c).to_pylist() for c in ("node", "sketch", "component", "side", "n", "near")), strict=True)
-        for key, row in zip(keys, rows, strict=True):
-            if key != now:
-                yield from flush()
-                now, held = key, []
-            held.append(row)
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if found := compare(held):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = zip(*(part.column(c).to_pylist() for c in ("head", "i", "j")), strict=True)
+                rows = zip(*(part.column(c).to_pylist() for c in ("node", "component", "side", "near", "text")), strict=True)
+                for key, row in zip(keys, rows, strict=True):
+                    if key != now:
+                        yield from flush()
+                        now, held = key, []
+                    held.append(row)
+        yield from flush()
+
+    return run
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -275,20 +316,17 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     first = cut(verified(pairs, texts, threshold))
     linked = first.filter("similarity > 0")
     component = connected(linked)
-    # second round: members of other components that share a bucket
-    placed = members.join(component, "node", "left").select("bucket", "node", "head", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low != high")
-    near = first.select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
-    dealt = placed.join(mixed.select("bucket", "members"), "bucket").join(near, ["node", "head"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("own", own).join(nodes, "node")
+    # second round: members of one head that are in several components
+    near = first.filter(F.col("jaccard") >= HEAD_SHARE).select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
+    near = near.union(near.select(F.col("head").alias("node"), "head", F.lit(1.0)).distinct())
+    placed = near.join(component, "node", "left").select("node", "head", "near", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n"), "node")
+    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter("low != high")
+    dealt = placed.join(mixed.select("head", "blocks"), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("bucket", "node", "component", "sketch", "n", "near", "own", other.alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "near")
-    across = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a binary, b binary").distinct()
-    second = verified(cut(across), texts, threshold).filter("similarity > 0")
-    return linked.union(second).select("a", "b")
+    dealt = dealt.select("head", "node", "component", "near", "own", other.alias("other")).join(texts, "node")
+    dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "near", "text")
+    second = dealt.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(_across(threshold), "a binary, b binary")
+    return linked.select("a", "b").union(cut(second))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -316,12 +354,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     size = placed.groupBy("class").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("kept"))
     # rows that go: all of larger classes but the kept one; rows equal to it in id and text leave one
     kept = size.filter("rows > 1").select("class", F.col("kept.doc_id").alias("k_id"), F.col("kept.node").alias("k_node"))
-    gone = placed.join(kept, "class").groupBy("doc_id", "node").agg(F.max((F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node"))).cast("int")).alias("stays"), F.count("*").alias("rows"))
-    gone = cut(gone).select(F.col("doc_id").alias("_g_id"), F.col("node").alias("_g_node"), "stays", F.col("rows").alias("_g_rows"))
+    gone = placed.join(kept, "class").groupBy("doc_id", "node").agg(F.max((F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node"))).cast("int")).alias("__stays"), F.count("*").alias("rows"))
+    gone = cut(gone).select(F.col("doc_id").alias("__g_id"), F.col("node").alias("__g_node"), "__stays", F.col("rows").alias("__g_rows"))
     node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    found = docs.withColumn("_node", node).join(gone, (F.col("_node") == F.col("_g_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_g_id")), "left")
-    single = found.filter("stays is null or (stays = 1 and _g_rows = 1)").select(*docs.columns)
-    if gone.filter("stays = 1 and _g_rows > 1").isEmpty():
+    found = docs.withColumn("__node", node).join(gone, (F.col("__node") == F.col("__g_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__g_id")), "left")
+    single = found.filter("__stays is null or (__stays = 1 and __g_rows = 1)").select(*docs.columns)
+    if gone.filter("__stays = 1 and __g_rows > 1").isEmpty():
         return single
-    repeated = found.filter("stays = 1 and _g_rows > 1").dropDuplicates(["_node"]).select(*docs.columns)
+    repeated = found.filter("__stays = 1 and __g_rows > 1").dropDuplicates(["__node"]).select(*docs.columns)
     return single.union(repeated)
