@@ -162,10 +162,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     index = rows.select("id", "vector").mapInArrow(_cells(signs, 1), schema).select("id", "vector", F.explode("cells").alias("cell"))
     asked = rows.filter("is_query").select("id", "vector").dropDuplicates(["id", "vector"]).mapInArrow(_cells(signs, probes), schema).select("id", "vector", F.explode("cells").alias("cell"))
     blocks = cut(index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # 2 d rows a table at most
+    def search(queries: DataFrame) -> DataFrame:
+        spread = queries.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"))
+        together = salted.union(spread).repartition("cell", "block").sortWithinPartitions("cell", "block")
+        found = together.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     salted = index.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"))
-    spread = asked.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"))
-    together = salted.union(spread).repartition("cell", "block").sortWithinPartitions("cell", "block")
-    found = together.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = cut(search(asked))
+    # queries whose cells held fewer than k candidates meet every vector, through all cells of the first table
+    enough = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = rows.filter("is_query").select("id", "vector").dropDuplicates(["id", "vector"]).join(enough, "id", "left_anti")
+    if not short.isEmpty():
+        everywhere = short.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(2 * signs.shape[-1] - 1))).alias("cell"))
+        best = best.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").union(search(everywhere))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
