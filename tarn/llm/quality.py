@@ -143,11 +143,11 @@ def rate(docs: DataFrame, model: Ordinal, wanted: int | None = None, least: floa
     if not len(model.thresholds):
         sure = float(model.grades[0] >= wanted)
         return docs.withColumn("expected_grade", F.lit(float(model.grades[0]))).withColumn("tail_prob", F.lit(sure)).withColumn("keep", F.lit(sure >= least))
-    out = docs.withColumn("_score", linear_score(F.coalesce(F.col("text"), F.lit("")), model))
-    tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_score"))) for t in model.thresholds]
+    out = docs.withColumn("__score", linear_score(F.coalesce(F.col("text"), F.lit("")), model))
+    tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("__score"))) for t in model.thresholds]
     expected = F.lit(float(model.grades[0]))
     for low, high, tail in zip(model.grades, model.grades[1:], tails):
         expected = expected + F.lit(float(high - low)) * tail
     above = [tail for grade, tail in zip(model.grades[1:], tails) if grade >= wanted]
     tail = F.lit(1.0) if wanted <= model.grades[0] else above[0] if above else F.lit(0.0)
-    return out.withColumn("expected_grade", expected).withColumn("tail_prob", tail).drop("_score").withColumn("keep", F.col("tail_prob") >= least)
+    return out.withColumn("expected_grade", expected).withColumn("tail_prob", tail).drop("__score").withColumn("keep", F.col("tail_prob") >= least)
