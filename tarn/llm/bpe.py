@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,15 @@ class BitmapQueue:
             if n <= 1:
                 break
 
-    def push(self, rank: int, entry) -> None:
+    def push(self, rank: int, entry: int) -> None:
         b = self.buckets[rank]
         if b is not None:
             b.append(entry)
             return
         self.buckets[rank] = [entry]
+        self.mark(rank)
+
+    def mark(self, rank: int) -> None:
         for level in self.levels:
             word, bit = rank >> 6, 1 << (rank & 63)
             if level[word] & bit:
@@ -119,22 +123,26 @@ def merge(table: Ranks, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if n > 1:
         rank[: n - 1] = np.where(piece[1:] == piece[:-1], table.pair(symbol[:-1], symbol[1:]), none)
     queue = BitmapQueue(none)
-    order = np.argsort(rank[:n], kind="stable")
-    order = order[rank[order] < none]
-    if len(order):
-        edges = np.flatnonzero(np.diff(rank[order])) + 1
-        for group in np.split(order, edges):
-            queue.push(int(rank[group[0]]), group)
+    # the pairs of the text as it stands go in as whole arrays
+    order = np.flatnonzero(rank[:n] < none)
+    order = order[np.argsort(rank[order], kind="stable")]
+    first_ranks, edges = np.unique(rank[order], return_index=True)
+    begin = dict(zip(first_ranks.tolist(), np.split(order, edges[1:]), strict=True)) if len(order) else {}
+    for r in begin:
+        queue.buckets[r] = []
+        queue.mark(r)
     alive = np.ones(n, bool)
     while got := queue.pop():
         now, entries = got
-        arrays = [e for e in entries if not isinstance(e, int)]
-        single = [e for e in entries if isinstance(e, int)]
-        if single:
-            at = np.unique(np.concatenate([*arrays, np.array(single, np.int64)]))
+        at = begin.pop(now, None)
+        if entries:
+            at = np.array(entries, np.int64) if at is None else np.concatenate([at, entries])
+            at.sort()
+            at = at[rank[at] == now]  # the others are stale
+            if len(at) > 1:
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
         else:
-            at = arrays[0] if len(arrays) == 1 else np.unique(np.concatenate(arrays))
-        at = at[rank[at] == now]  # the others are stale
+            at = at[rank[at] == now]
         if not len(at):
             continue
         right = after[at]
@@ -169,6 +177,14 @@ def merge(table: Ranks, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbol[alive], np.bincount(piece[alive], minlength=len(pieces))
 
 
+class Numbers(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of pre-tokens, each encoded once while it is remembered."""
 
@@ -177,7 +193,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self, fresh: list[str]) -> None:
@@ -207,16 +223,13 @@ class Encoder:
         """Ids of all texts in a row, and how many each has."""
         if len(self.index) > REMEMBERED:
             self.forget()
-        index, find = self.index, self.pattern.findall
-        fresh: list[str] = []
+        number, find, known = self.index.__getitem__, self.pattern.findall, len(self.index)
         at, sizes = [], []
         for t in texts:
             pieces = find(t)
-            for p in set(pieces).difference(index):
-                index[p] = len(index)
-                fresh.append(p)
-            at.append(np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces)))
+            at.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
             sizes.append(len(pieces))
+        fresh = list(islice(reversed(self.index), len(self.index) - known))[::-1]
         if fresh:
             self.learn(fresh)
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
