@@ -40,8 +40,8 @@ COORDINATES = BANDS * ROWS
 #: The second round looks at members with at least this similarity to the head: texts that reach the threshold share
 #: two bands of five, and some of the heads of these resemble them.
 HEAD_SHARE = 0.3
-#: Shingles of a head's members that one block holds.
-BLOCK = 300_000
+#: Shingles of a head's members, and members, that one block holds.
+BLOCK, BLOCK_MEMBERS = 300_000, 1024
 
 _seeds = np.random.default_rng(7)
 ODD = _seeds.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -320,7 +320,7 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     near = first.filter(F.col("jaccard") >= HEAD_SHARE).select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
     near = near.union(near.select(F.col("head").alias("node"), "head", F.lit(1.0)).distinct())
     placed = near.join(component, "node", "left").select("node", "head", "near", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n"), "node")
-    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter("low != high")
+    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")).filter("low != high")
     dealt = placed.join(mixed.select("head", "blocks"), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("head", "node", "component", "near", "own", other.alias("other")).join(texts, "node")
