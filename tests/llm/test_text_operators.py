@@ -97,7 +97,7 @@ CHAT = "tree string, node string, parent string, role string, text string, score
 
 
 def test_branches_are_ranked(spark):
-    rows = [("t", "a", None, "user", "q", 1.0, ""), ("t", "b", "a", "assistant", "low", 0.1, ""), ("t", "c", "a", "assistant", "high", 0.9, ""), ("t", "d", "c", "user", "more", 0.5, ""), ("t", "e", "c", "user", "tie", 0.5, ""), ("u", "x", "gone", None, None, None, ""), ("v", "p", "q", "user", "cycle", 1.0, ""), ("v", "q", "p", "user", "cycle", 1.0, "")]
+    rows = [("t", "a", None, "user", "q", 1.0, ""), ("t", "b", "a", "assistant", "low", 0.1, ""), ("t", "c", "a", "assistant", "high", 0.9, ""), ("t", "d", "c", "user", "more", 0.5, ""), ("t", "e", "c", "user", "tie", 0.5, ""), ("u", "x", "gone", None, None, None, ""), ("v", "p", "q", "user", "cycle", 1.0, ""), ("v", "q", "p", "user", "cycle", 1.0, ""), ("v", "r", "q", "user", "under it", 1.0, "")]
     got = sorted((r.tree, r.leaf, r["rank"], r.n_turns) for r in chat_format.format_trees(spark.createDataFrame(rows + rows[:1], CHAT), None).collect())
     assert got == [("t", "b", 3, 2), ("t", "d", 1, 3), ("t", "e", 2, 3), ("u", "x", 1, 1)]
     best = chat_format.format_trees(spark.createDataFrame(rows, CHAT)).filter("tree = 't'").first()
