@@ -8,8 +8,8 @@ in proportion to its target.
 Scale: cumulative sizes come from per-(source, bucket) sums and windows inside the 4096 buckets of the shuffle
 key, so a source with a third of all rows is split as others are. The global order is split the same way, into ranges
 of the virtual clock; only the range in which the budget runs out is ordered row by row. What is taken is then, for each
-source and round, a threshold on the shuffle key: one row for each source, joined to the documents, whose texts
-never cross a shuffle.
+source and round, a threshold on the shuffle key: one row for each source, joined to the sizes. Joins by source are
+dealt over SPREAD parts of every source, so a hot source is no hot task.
 
 Defined results: a size is the number of runs of characters other than space and 09-0D; null texts and texts
 without words have size 0 and are never taken; null is a source of its own, last in order; rows that
@@ -32,6 +32,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: No source is taken more often than this.
 ROUNDS = 2
+#: Parts over which rows of one source are dealt where they meet what is known of the source.
+SPREAD = 32
 
 
 def size_of(text: Column) -> Column:
@@ -65,6 +67,13 @@ def targets(sources: DataFrame, numerator: int, denominator: int, weights: tuple
     return leveled.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select("source", "source_size", "nth", "target")
 
 
+def with_source(rows: DataFrame, per_source: DataFrame, key: str) -> DataFrame:
+    """`rows` with the columns of their source's row in `per_source` (of, ...)."""
+    copies = per_source.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = rows.withColumn("__own", F.pmod(F.hash(key), F.lit(SPREAD)))
+    return dealt.join(copies, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__own") == F.col("__part"))).drop("__of", "__own", "__part")
+
+
 @dataclass
 class Mix:
     """sized: doc_id, source, size and key of every row; sources: their sizes and targets; cuts: the last key taken."""
@@ -87,8 +96,8 @@ def plan_mix(docs: DataFrame, numerator: int = 3, denominator: int = 2, weights:
     queued = _queue(bucketed.filter("size > 0"), offsets)
     inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = queued.withColumn("served", F.col("ahead") + F.sum("size").over(inside)).select("source", "size", "key", "served")
-    t = sources.select(F.col("source").alias("of"), "nth", "target", "source_size")
-    queued = queued.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    t = sources.select(F.col("source").alias("__of"), "nth", "target", "source_size")
+    queued = with_source(queued, t, "key")
     finish = F.explode(F.array(*(F.struct(F.lit(r).alias("round"), ((F.col("served") + F.col("source_size") * r) / F.col("target")).alias("finish")) for r in range(ROUNDS))))
     items = queued.select("source", "nth", "size", "key", finish.alias("f")).select("source", "nth", "size", "key", "f.*")
     items = cut(items.withColumn("tick", F.least(F.floor(F.col("finish") * TICKS), F.lit(1 << 40)).cast("long")))
@@ -116,24 +125,24 @@ def _queue(rows: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def _copies(size: Column, key: Column) -> Column:
-    times = [F.when((size > 0) & (key <= F.col(f"_cut{r}")), F.lit(1)).otherwise(F.lit(0)) for r in range(ROUNDS)]
+    times = [F.when((size > 0) & (key <= F.col(f"__cut{r}")), F.lit(1)).otherwise(F.lit(0)) for r in range(ROUNDS)]
     return sum(times[1:], times[0])
 
 
 def mixed_sizes(mix: Mix) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes) of every row."""
-    s = mix.sources.select(F.col("source").alias("_source"), "source_size", "target")
-    c = mix.cuts.select(F.col("source").alias("_cut_source"), *(F.col(f"cut{r}").alias(f"_cut{r}") for r in range(ROUNDS)))
-    per_source = s.join(c, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
-    out = mix.sized.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
+    s = mix.sources.select(F.col("source").alias("__source"), "source_size", "target")
+    c = mix.cuts.select(F.col("source").alias("__cut_source"), *(F.col(f"cut{r}").alias(f"__cut{r}") for r in range(ROUNDS)))
+    per_source = s.join(c, F.col("__source").eqNullSafe(F.col("__cut_source")), "left")
+    out = with_source(mix.sized, per_source.withColumnRenamed("__source", "__of"), "key")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"), F.col("key"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of `docs` that the mix takes, as often as it takes them."""
-    c = mix.cuts.select(F.col("source").alias("_source"), *(F.col(f"cut{r}").alias(f"_cut{r}") for r in range(ROUNDS)))
-    keyed = docs.withColumn("_key", shuffle_key(F.col("doc_id"), F.col("text"), mix.seed))
-    found = keyed.join(c, F.col("source").eqNullSafe(F.col("_source")))
+    c = mix.cuts.select(F.col("source").alias("__of"), *(F.col(f"cut{r}").alias(f"__cut{r}") for r in range(ROUNDS)))
+    keyed = docs.withColumn("__key", shuffle_key(F.col("doc_id"), F.col("text"), mix.seed))
+    found = with_source(keyed, c, "__key")
     size = F.when(F.regexp_like(F.col("text"), F.lit(WORDS)), F.lit(1)).otherwise(F.lit(0))
-    times = F.explode(F.sequence(F.lit(1), _copies(size, F.col("_key")).cast("int")))
-    return found.filter(_copies(size, F.col("_key")) > 0).withColumn("_copy", times).select(*docs.columns)
+    times = F.explode(F.sequence(F.lit(1), _copies(size, F.col("__key")).cast("int")))
+    return found.filter(_copies(size, F.col("__key")) > 0).withColumn("__copy", times).select(*docs.columns)
