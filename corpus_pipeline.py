@@ -13,8 +13,8 @@ from tarn.llm.shared import read, shared_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.5."""
-    scored = toxicity.score_texts(docs, _toxicity_model(spark, docs, sf_dir), "_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    scored = toxicity.score_texts(docs, _toxicity_model(spark, docs, sf_dir), "__toxicity")
+    return scored.filter(F.col("__toxicity") < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
