@@ -62,6 +62,38 @@ def _npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("src_npz", "SELECT 'R' || region_id AS name, dense_rank() OVER (ORDER BY region_id) - 1 AS region_code, ordinal, prec FROM panel", _npz_round_trip, "prec")
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    files.write_encoded(panel(spark, sf_dir), path)
+    return files.read_panel_parquet(spark, path, ["region_id", "region_code", "year", "month", "day", "wind"])
+
+
+for _n in ("snk_npz", "ckpt_atomic"):
+    query(_n, "SELECT region_id, dense_rank() OVER (ORDER BY region_id) - 1 AS region_code, year, month, day, wind FROM panel", _encoded, "wind")
+
+
+def _template_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission template of zeros, written and read back."""
+    path = _scratch(spark)
+    panel(spark, sf_dir).select("region_id").distinct().select("region_id", *(F.lit(0.0).alias(f"pred_week{k}") for k in range(1, 6))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_WEEKS = [f"pred_week{k}" for k in range(1, 6)]
+query("snk_sub_npz", f"SELECT DISTINCT region_id, {', '.join(f'0.0::DOUBLE AS {w}' for w in _WEEKS)} FROM panel", _template_file, " ".join(_WEEKS))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _scratch(spark)
+    days = panel(spark, sf_dir).select(*KEY, "prec")
+    days.filter("year < 1998").write.parquet(f"{root}/a")
+    days.filter("year >= 1998").write.parquet(f"{root}/b/c")
+    return files.find_panels(spark, root)
+
+
+query("src_find", f"SELECT {K}, prec FROM panel", _found, "prec")
 query("fx_small", f"SELECT {K}, prec FROM panel WHERE region_id IN (SELECT DISTINCT region_id FROM panel ORDER BY 1 LIMIT 3)", lambda s, d: summaries.first_regions(panel(s, d), 3).select(*KEY, "prec"), "prec")
 query("fx_synth", None, lambda s, d: files.synthetic_panel(s, 2, 100))
 query("ckpt", None, lambda s, d: files.load_or_compute(s, _scratch(s), ["prec"], lambda: panel(s, d).select(*KEY, "prec")))

@@ -85,6 +85,18 @@ def encode_regions(df: DataFrame) -> DataFrame:
     return df.join(codes, ["region_id"])
 
 
+def find_panels(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """All files of a pattern under a folder, at any depth."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(root)
+
+
+def write_encoded(df: DataFrame, path: str) -> None:
+    """A panel with region codes, as narrow dictionary-encoded columns; the folder is complete once _SUCCESS is there."""
+    coded = encode_regions(df)
+    narrow = [F.col(n).cast("float").alias(n) if k == "double" else F.col(n).cast("int").alias(n) if n in ("year", "month", "day") else F.col(n) for n, k in coded.dtypes]
+    coded.select(*narrow).write.mode("errorifexists").parquet(path)
+
+
 def write_submission(forecasts: DataFrame, path: str) -> None:
     forecasts.write.mode("overwrite").option("header", True).csv(path)
 
