@@ -1,7 +1,7 @@
 """Chat formatting: root-to-leaf paths of reply trees as conversations, in DataFrame operations only.
 
 Paths are enumerated by iterative self-joins that double their reach: after k joins every node knows its ancestor 2^k
-replies up, and every leaf its nearest 2^k ancestors, so trees of depth d take log2(d) rounds. Of each
+replies up; after k more, every leaf its nearest 2^k ancestors, so trees of depth d take log2(d) rounds. Of each
 tree's leaves, branches are ranked by the mean score of their messages; each chosen path becomes one conversation.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles a backslash is doubled and
@@ -9,8 +9,8 @@ The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside t
 Reading back is a split at the marks and the reverse replacements.
 
 Defined results: null texts and roles are empty; null scores count as 0; ties of branches go to the smaller leaf id; a
-message whose parent is missing is a root; rows that repeat a message id of one tree count once; messages on a cycle have
-no root and give no path; an empty table gives an empty table.
+message whose parent is missing is a root; rows that repeat a message id of one tree count once; messages on a cycle, or under
+one, have no root and give no path; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,18 +47,22 @@ def paths(messages: DataFrame) -> DataFrame:
     """
     nodes = messages.select("node", "parent")
     known = nodes.select(F.col("node").alias("known"))
-    jump = cut(nodes.join(known, F.col("parent") == F.col("known"), "left").select("node", F.col("known").alias("far")))
-    replied = jump.select(F.col("far").alias("inner")).filter("inner is not null").distinct()
-    leaves = jump.join(replied, F.col("node") == F.col("inner"), "left_anti")
-    reach = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).alias("up")))
+    # who has an ancestor 2^k replies up, and which: fewer with every round
+    jumps = [cut(nodes.join(known, F.col("parent") == F.col("known")).select("node", F.col("known").alias("far")))]
     step, longest = 1, nodes.count()
-    while step <= longest and not jump.filter("far is not null").isEmpty():
-        up = jump.filter("far is not null").select(F.col("node").alias("from"), "far")
-        above = reach.join(up, F.col("node") == F.col("from")).select("leaf", F.col("far").alias("node"), (F.col("up") + step).alias("up"))
-        reach = cut(reach.union(above))
-        further = up.select(F.col("from").alias("via"), F.col("far").alias("further"))
-        jump = cut(jump.join(further, F.col("far") == F.col("via"), "left").select("node", F.col("further").alias("far")))
+    while step <= longest and not jumps[-1].isEmpty():
+        further = jumps[-1].select(F.col("node").alias("via"), F.col("far").alias("further"))
+        jumps.append(cut(jumps[-1].join(further, F.col("far") == F.col("via")).select("node", F.col("further").alias("far"))))
         step *= 2
+    replied = jumps[0].select(F.col("far").alias("inner")).distinct()
+    leaves = nodes.select("node").join(replied, F.col("node") == F.col("inner"), "left_anti")
+    if step > longest and not jumps[-1].isEmpty():  # ancestors without end: these stand on a cycle, or under one
+        leaves = leaves.join(jumps[-1].select("node"), "node", "left_anti")
+    reach = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).alias("up")))
+    for k, jump in enumerate(jumps[:-1]):
+        up = jump.select(F.col("node").alias("from"), "far")
+        above = reach.join(up, F.col("node") == F.col("from")).select("leaf", F.col("far").alias("node"), (F.col("up") + 2**k).alias("up"))
+        reach = cut(reach.union(above))
     return reach
 
 
