@@ -2,8 +2,8 @@
 
 Writing: each task turns its texts into 8-bit greyscale PNG images, 192 samples a row, and appends them to a tar shard
 in the shared folder, each payload once a shard, under the SHA-256 of its payload. Rows carry digest, shard, offset and
-length; payloads never cross a shuffle. Where several shards hold one payload, the smallest (shard, offset) becomes
-the row's reference. Reading: header-only range reads (33 bytes) fill width and height; whole reads give the payload
+length; payloads never cross a shuffle. A payload that many rows have stands once in each shard whose task met it, so its
+rows are dealt as the shards are. Reading: header-only range reads (33 bytes) fill width and height; whole reads give the payload
 back for digests and features.
 
 A task that runs again writes a shard of its own name, and its rows point there; the index is cut from its lineage
@@ -198,8 +198,7 @@ def write_media(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame,
     """Store the texts of `docs`; the index (doc_id, n_bytes, digest, shard, offset, length) and the shards' folder."""
     folder = folder or shared_dir(docs.sparkSession)
     index = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_writer(folder), INDEX))
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return index.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", "at.*"), folder
+    return index, folder
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:
@@ -217,5 +216,5 @@ def read_media(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: its reference, metadata and features."""
     index, folder = write_media(docs)
-    found = read_media(index, folder).drop("shard", "offset", "length")
-    return index.join(found, "digest")
+    found = read_media(index, folder).drop("digest", "length")
+    return index.join(found, ["shard", "offset"])
