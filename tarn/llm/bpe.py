@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from .words import passes
 
 #: Distinct pre-tokens that a worker remembers; beyond it, it starts anew. Bounds memory, not the result.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of new pre-tokens that one queue holds, unless one pre-token alone is longer.
-QUEUE_BYTES = 2 << 20
+QUEUE_BYTES = 3 << 19
+#: Bytes of text that are split at once, unless one text alone is longer.
+TEXT_BYTES = 4 << 20
 
 
 class BitmapQueue:
@@ -86,14 +88,15 @@ class Ranks:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
         self.size = max(self.ids.values()) + 1
         self.byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        keys, merged = [], []
         for token, rank in self.ids.items():
             for i in range(1, len(token)):
                 a, b = self.ids.get(token[:i]), self.ids.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a * self.size + b] = rank
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+                    keys.append(a * self.size + b)
+                    merged.append(rank)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         by_id = sorted((i, t) for t, i in self.ids.items())
         lengths = np.zeros(self.size, np.int64)
         lengths[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
@@ -102,9 +105,9 @@ class Ranks:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of neighbours; `size` if they don't merge."""
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.size)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(self.size))
 
 
 @functools.lru_cache(maxsize=4)
@@ -115,11 +118,11 @@ def ranks(path: str) -> Ranks:
 def merge(table: Ranks, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces in a row, and how many each piece has."""
     lengths = np.array([len(p) for p in pieces], np.int64)
-    symbol = table.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    symbol = table.byte[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
     n, none = len(symbol), table.size
-    piece = np.repeat(np.arange(len(pieces)), lengths)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    rank = np.full(n + 1, none, np.int64)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    rank = np.full(n + 1, none, np.int32)
     if n > 1:
         rank[: n - 1] = np.where(piece[1:] == piece[:-1], table.pair(symbol[:-1], symbol[1:]), none)
     queue = BitmapQueue(none)
@@ -201,7 +204,7 @@ class Encoder:
         i = 0
         while i < len(fresh):
             part, size = [], 0
-            while i < len(fresh) and (not part or size + 4 * len(fresh[i]) <= QUEUE_BYTES * 2):
+            while i < len(fresh) and (not part or size + 4 * len(fresh[i]) <= QUEUE_BYTES):
                 part.append(fresh[i].encode("utf-8", "surrogatepass"))
                 size += len(part[-1])
                 i += 1
@@ -245,19 +248,39 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def encode_texts(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    coder = encoder(path, pattern)
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for s in passes(texts, TEXT_BYTES):
+        i, c = coder.encode(texts[s.start : s.stop].fill_null("").to_pylist())
+        ids.append(i)
+        counts.append(c)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
+
+
+def decode_ids(column: pa.Array, path: str) -> pa.Array:
+    table, out = ranks(path), []
+    for i in range(0, len(column), 256):
+        part = column[i : i + 256]
+        flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = table.lengths[flat]
+        ends = np.cumsum(lengths)
+        raw = table.bytes[np.repeat(table.starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        valid = part.is_valid().to_pylist()
+        out.append(pa.array([raw[a:b] if ok else None for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), valid, strict=True)], pa.binary()))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
 def token_ids(text: Column, path: str, pattern: str) -> Column:
     """array<int> of the ids of a text column."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        coder = encoder(path, pattern)
-        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for s in passes(texts, 8 << 20):
-            i, c = coder.encode(texts[s.start : s.stop].fill_null("").to_pylist())
-            ids.append(i)
-            counts.append(c)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
+        return encode_texts(texts, path, pattern)
 
     return encode(text)
 
@@ -267,23 +290,22 @@ def token_bytes(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(column: pa.Array) -> pa.Array:
-        table, out = ranks(path), []
-        for i in range(0, len(column), 512):
-            part = column[i : i + 512]
-            flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            lengths = table.lengths[flat]
-            ends = np.cumsum(lengths)
-            data = table.bytes[np.repeat(table.starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-            raw = data.tobytes()
-            valid = part.is_valid().to_pylist()
-            out += [raw[a:b] if ok else None for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), valid, strict=True)]
-        return pa.array(out, pa.binary())
+        return decode_ids(column, path)
 
     return decode(ids)
 
 
+def there_and_back(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decoded>: the ids of a text column, and the bytes that these ids stand for, by one pass of Python."""
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def run(texts: pa.Array) -> pa.Array:
+        ids = encode_texts(texts, path, pattern)
+        return pa.StructArray.from_arrays([ids, decode_ids(ids, path)], names=["ids", "decoded"])
+
+    return run(text)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", to: str = "ids") -> DataFrame:
     """`docs` with the ids of `column` in `to`."""
     return docs.withColumn(to, token_ids(F.coalesce(F.col(column), F.lit("")), path, pattern))
@@ -291,4 +313,13 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", to: s
 
 def decode(docs: DataFrame, path: str, column: str = "ids", to: str = "decoded") -> DataFrame:
     """`docs` with the bytes of the ids of `column` in `to`."""
-    return docs.withColumn(to, token_bytes(F.col(column), path))
+    # A Python function directly on another's result would run both together, and the other twice.
+    given = F.when(F.size(column) >= 0, F.col(column))
+    return docs.withColumn(to, token_bytes(given, path))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """`docs` with ids and decoded."""
+    made = there_and_back(F.coalesce(F.col(column), F.lit("")), path, pattern)
+    others = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.withColumn("__made", made).select(*others, "__made.ids", "__made.decoded")

@@ -54,13 +54,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = _tokenizers()
     path = tok.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, path, tok.PATTERN), path)
+    done = bpe.round_trip(docs, path, tok.PATTERN)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    return media.media_columns(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ U = np.uint64
 #: Odd multiplier of the polynomial hash and of the finaliser.
 BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text that one numpy pass takes; a longer text makes a pass of its own.
-PASS_BYTES = 3 << 20
+PASS_BYTES = 1 << 20
 
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
