@@ -8,8 +8,9 @@ in proportion to its target.
 Scale: cumulative sizes come from per-(source, bucket) sums and windows inside the 4096 buckets of the shuffle
 key, so a source with a third of all rows is split as others are. The global order is split the same way, into ranges
 of the virtual clock; only the range in which the budget runs out is ordered row by row. What is taken is then, for each
-source and round, a threshold on the shuffle key: one row for each source, joined to the sizes. Joins by source are
-dealt over SPREAD parts of every source, so a hot source is no hot task.
+source and round, a threshold on the shuffle key: one row for each source. Up to FEW sources, counted before, are
+broadcast, so texts don't cross a shuffle; more are joined over SPREAD parts of every source, so a hot source is no hot
+task.
 
 Defined results: a size is the number of runs of characters other than space and 09-0D; null texts and texts
 without words have size 0 and are never taken; null is a source of its own, last in order; rows that
@@ -34,6 +35,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 ROUNDS = 2
 #: Parts over which rows of one source are dealt where they meet what is known of the source.
 SPREAD = 32
+#: So many rows of sources are broadcast at most.
+FEW = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -69,6 +72,8 @@ def targets(sources: DataFrame, numerator: int, denominator: int, weights: tuple
 
 def with_source(rows: DataFrame, per_source: DataFrame, key: str) -> DataFrame:
     """`rows` with the columns of their source's row in `per_source` (of, ...)."""
+    if per_source.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
     copies = per_source.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     dealt = rows.withColumn("__own", F.pmod(F.hash(key), F.lit(SPREAD)))
     return dealt.join(copies, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__own") == F.col("__part"))).drop("__of", "__own", "__part")
