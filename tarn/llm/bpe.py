@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import passes
+from .words import give_back, passes
 
 #: Distinct pre-tokens that a worker remembers; beyond it, it starts anew. Bounds memory, not the result.
 REMEMBERED = 200_000
@@ -271,7 +271,7 @@ def decode_ids(column: pa.Array, path: str) -> pa.Array:
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         valid = part.is_valid().to_pylist()
         out.append(pa.array([raw[a:b] if ok else None for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), valid, strict=True)], pa.binary()))
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 

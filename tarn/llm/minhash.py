@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import cut, table
-from .words import BASE, SPACED, U, mix, occurrences, passes, shingles, words
+from .words import BASE, SPACED, U, give_back, mix, occurrences, passes, shingles, words
 
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 2
@@ -41,7 +41,7 @@ COORDINATES = BANDS * ROWS
 #: two bands of five, and some of the heads of these resemble them.
 HEAD_SHARE = 0.3
 #: Shingles of a head's members, and members, that one block holds.
-BLOCK, BLOCK_MEMBERS = 300_000, 1024
+BLOCK, BLOCK_MEMBERS = 200_000, 768
 
 _seeds = np.random.default_rng(7)
 ODD = _seeds.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -94,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if x not in seen:  # copies in one task are sketched once
                     fresh.append(i)
                     seen.add(x)
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             rows = np.array(fresh, np.int64)
             got, n = sketches(texts[s.start : s.stop].take(pa.array(rows)))
@@ -103,6 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(where >= 0, COORDINATES, 0))]), pa.int32()), pa.array(got[where[where >= 0]].ravel()), mask=pa.array(where < 0))
             count = pa.array(np.where(where >= 0, n[where] if len(n) else 0, 0).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s.start : s.stop], nodes, count, lists], names=["doc_id", "node", "n", "sketch"])
+        give_back()
 
 
 def common(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -196,6 +197,7 @@ def _verify(threshold: float):
                 content = [jaccard(held[x][1], held[y][1]) for x, y in zip(*ids, strict=True)]
                 aligned = [similarity(held[x][0], held[y][0], threshold) if j >= threshold - 1e-9 else 0.0 for x, y, j in zip(*ids, content, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(aligned, pa.float64()), pa.array(content, pa.float64())], names=["a", "b", "similarity", "jaccard"])
+            give_back()
 
     return run
 
@@ -286,6 +288,7 @@ def _across(threshold: float):
                         now, held = key, []
                     held.append(row)
         yield from flush()
+        give_back()
 
     return run
 
@@ -320,10 +323,17 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     near = first.filter(F.col("jaccard") >= HEAD_SHARE).select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
     near = near.union(near.select(F.col("head").alias("node"), "head", F.lit(1.0)).distinct())
     placed = near.join(component, "node", "left").select("node", "head", "near", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n"), "node")
-    mixed = placed.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")).filter("low != high")
-    dealt = placed.join(mixed.select("head", "blocks"), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("head", "node", "component", "near", "own", other.alias("other")).join(texts, "node")
+    # The members of a head's largest component need not meet each other: they have blocks of their own behind those of the rest.
+    sizes = placed.groupBy("head", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    whole = sizes.groupBy("head").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.max(F.struct("members", "component", "shingles")).alias("top"))
+    many = lambda members, n: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, members / BLOCK_MEMBERS))).cast("int")
+    mixed = whole.filter("components > 1").select(
+        "head", F.col("top.component").alias("largest"), many(F.col("members") - F.col("top.members"), F.col("shingles") - F.col("top.shingles")).alias("rest"), many(F.col("top.members"), F.col("top.shingles")).alias("most")
+    )
+    in_largest = F.col("component") == F.col("largest")
+    part = F.when(in_largest, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    last = F.when(in_largest, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    dealt = placed.join(mixed, "head").select("head", "node", "component", "near", part.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")).join(texts, "node")
     dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), "near", "text")
     second = dealt.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(_across(threshold), "a binary, b binary")
     return linked.select("a", "b").union(cut(second))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import passes
+from .words import give_back, passes
 
 #: The mark that the library writes for a space.
 MARK = "▁"
@@ -46,7 +46,7 @@ def check_model(path: str) -> None:
 
 PRETOKEN = re.compile(f"{MARK}+[^{MARK}]*")
 
-_known: dict[tuple[str, str], int] = {}
+_known: dict[str, dict[str, int]] = {}
 
 
 def _count_new(path: str, fresh: list[str]) -> None:
@@ -56,7 +56,7 @@ def _count_new(path: str, fresh: list[str]) -> None:
     # A mark alone would be the empty text: it is a piece, or falls to its three bytes.
     alone = 1 if sp.piece_to_id(MARK) != sp.unk_id() else 3
     for p, x in zip(fresh, ids, strict=True):
-        _known[path, p] = alone if p == MARK else len(x)
+        _known[path][p] = alone if p == MARK else len(x)
 
 
 def _block(path: str, texts: list[str]) -> list[int]:
@@ -68,12 +68,13 @@ def _block(path: str, texts: list[str]) -> list[int]:
             frequencies.append(Counter(PRETOKEN.findall(t)))
         else:
             frequencies.append(Counter([MARK + x for x in t[1:].split(MARK)]) if t else Counter())
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    fresh = list({p for f in frequencies for p in f if (path, p) not in _known})
+    known = _known.setdefault(path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    fresh = list({p for f in frequencies for p in f if p not in known})
     if fresh:
         _count_new(path, fresh)
-    return [sum(_known[path, p] * n for p, n in f.items()) for f in frequencies]
+    return [sum(known[p] * n for p, n in f.items()) for f in frequencies]
 
 
 def piece_count(text: Column, path: str) -> Column:
@@ -85,6 +86,7 @@ def piece_count(text: Column, path: str) -> Column:
         out: list[int] = []
         for s in passes(texts):
             out += _block(path, texts[s.start : s.stop].fill_null("").to_pylist())
+        give_back()
         return pa.array(np.array(out, np.int64))
 
     return count(text)

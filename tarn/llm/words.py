@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,13 @@ ALNUM = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 _powers: list[np.ndarray] = []
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on to other operators, beside which its peak should not stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * MIX1
     x = (x ^ (x >> U(27))) * MIX2
