@@ -21,15 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, U, Words, mix, passes, words
+from .words import ALNUM, U, Words, give_back, mix, passes, words
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS = 13, 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 8, 12, 12
 #: Labelled documents of each class that training takes at most, and windows of each.
-SAMPLE, SAMPLE_WINDOWS, EPOCHS = {1: 700, 0: 1300}, 12, 7
+SAMPLE, SAMPLE_WINDOWS, EPOCHS = {1: 700, 0: 2800}, 8, 7
 #: Windows that one numpy step scores.
-CHUNK = 4096
+CHUNK = 2048
 
 Params = dict[str, np.ndarray]
 
@@ -147,12 +147,11 @@ def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 5, epochs: int =
     draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     dim = WORD_DIM + CHAR_DIM
     p = {
-        "word": draw(1 << WORD_BITS, WORD_DIM, scale=0.3), "char": draw(1 << CHAR_BITS, CHAR_DIM, scale=0.3), "in": draw(dim, 6 * HIDDEN, scale=dim**-0.5), "in_bias": np.zeros(6 * HIDDEN, np.float32),
+        "word": draw(1 << WORD_BITS, WORD_DIM, scale=0.02), "char": draw(1 << CHAR_BITS, CHAR_DIM, scale=0.1), "in": draw(dim, 6 * HIDDEN, scale=dim**-0.5), "in_bias": np.zeros(6 * HIDDEN, np.float32),
         "ahead": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "back": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "attend": draw(2 * HIDDEN, ATTEND, scale=(2 * HIDDEN) ** -0.5),
         "attend_out": draw(ATTEND, scale=ATTEND**-0.5), "out": draw(2 * HIDDEN, scale=(2 * HIDDEN) ** -0.5), "out_bias": np.zeros(1, np.float32),
     }
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    share = {c: 0.5 * len(toxic) / max(1, (toxic == c).sum()) for c in (0, 1)}
     step = 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 48)):
@@ -169,7 +168,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 5, epochs: int =
             logit = logits(p, x, index, state)
             total, weight = _by_doc(logit, doc[of_doc], len(part))
             y = toxic[part]
-            error = np.where(np.isinf(total), 0, (_sigmoid(total) - y) * np.where(y == 1, share[1], share[0])) / len(part)
+            error = np.where(np.isinf(total), 0, _sigmoid(total) - y) / len(part)
             d = (error[doc[of_doc]] * weight).astype(np.float32)
             g = _gradients(p, x, index, state, d, word, gram, of)
             step += 1
@@ -217,7 +216,7 @@ def _lower(texts: pa.Array) -> pa.Array:
 def text_scores(p: Params, texts: pa.Array) -> np.ndarray:
     """Scores of whole texts, 0 to 1."""
     out = [np.zeros(0)]
-    for s in passes(texts, 1 << 20):
+    for s in passes(texts, 1 << 19):
         w = words(_lower(texts[s.start : s.stop]), ALNUM)
         if not len(w.hash):
             out.append(np.zeros(w.n_docs))
@@ -234,7 +233,9 @@ def text_scores(p: Params, texts: pa.Array) -> np.ndarray:
 def toxicity(text: Column, p: Params) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(text_scores(p, texts))
+        out = pa.array(text_scores(p, texts))
+        give_back()
+        return out
 
     return score(text)
 
