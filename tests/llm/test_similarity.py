@@ -233,3 +233,19 @@ def test_repeated_vector_over_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["op4_nearest", "op7_near_duplicates", "op10_repeated_passages"])
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_fuzzy_passages(spark):
+    r = random.Random(22)
+    rows, planted = [], []
+    for p in range(100):
+        passage = prose(60, r)
+        other = list(passage)
+        for i in r.sample(range(1, 59), 8):
+            other[i] = f"changed{p}x{i}"
+        for words in (passage, other):
+            rows.append((len(rows), " ".join(prose(40, r) + words + prose(40, r))))
+        planted.append(len(rows) - 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id for x in substring.repeated_passages(df).collect() if x.of_doc_id == x.doc_id - 1}
+    assert len(got & set(planted)) >= 90
