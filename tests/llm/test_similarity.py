@@ -235,6 +235,18 @@ def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_passage_whose_parts_are_common(spark):
+    r = random.Random(21)
+    a, b = prose(40, r), prose(40, r)
+    text = lambda *parts: " ".join(w for part in (prose(30, r), *parts, prose(30, r)) for w in part)
+    rows = [text(*([a], [b], [a, prose(30, r), b])[i % 3]) for i in range(30)]
+    rows[10] = text(a, b)
+    rows.append(text(a, b))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(x.doc_id, x.of_doc_id): set(range(x.start_word, x.end_word)) for x in substring.repeated_passages(df).collect()}
+    assert set(range(30, 110)) <= got.get((30, 10), set())
+
+
 def test_fuzzy_passages(spark):
     r = random.Random(22)
     rows, planted = [], []
