@@ -261,3 +261,12 @@ def test_fuzzy_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id for x in substring.repeated_passages(df).collect() if x.of_doc_id == x.doc_id - 1}
     assert len(got & set(planted)) >= 90
+
+
+def test_occurrences_beyond_256_keep_their_numbers():
+    n = 700
+    hashed, ord_ = np.full(2 * n, 7, np.uint64), np.repeat([1, 2], n).astype(np.int64)
+    key, pos = np.zeros(2 * n, np.int32), np.tile(np.arange(n, dtype=np.int32) * 9, 2)
+    shuffled = np.random.default_rng(3).permutation(2 * n)
+    links, found = substring.linked(*(c[shuffled] for c in (hashed, ord_, key, pos)))
+    assert len(found[0]) == 2 * n and sorted(zip(links[2].tolist(), links[5].tolist(), strict=True)) == [(9 * i, 9 * i) for i in range(n)]
