@@ -266,7 +266,75 @@ def test_fuzzy_passages(spark):
 def test_occurrences_beyond_256_keep_their_numbers():
     n = 700
     hashed, ord_ = np.full(2 * n, 7, np.uint64), np.repeat([1, 2], n).astype(np.int64)
-    key, pos = np.zeros(2 * n, np.int32), np.tile(np.arange(n, dtype=np.int32) * 9, 2)
+    key, pos = np.zeros(2 * n, np.int64), np.tile(np.arange(n, dtype=np.int32) * 9, 2)
     shuffled = np.random.default_rng(3).permutation(2 * n)
-    links, found = substring.linked(*(c[shuffled] for c in (hashed, ord_, key, pos)))
+    links, found, _ = substring.linked(*(c[shuffled] for c in (hashed, ord_, key, pos)))
     assert len(found[0]) == 2 * n and sorted(zip(links[2].tolist(), links[5].tolist(), strict=True)) == [(9 * i, 9 * i) for i in range(n)]
+
+
+def brute_repeats(texts):
+    """Words of each document that lie in LEAST_WORDS words in a row of an earlier one."""
+    words = [(t or "").lower().split() for t in texts]
+    seen, out = set(), {}
+    for i, w in enumerate(words):
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        out[i] = {k for j, run in enumerate(runs) if run in seen for k in range(j, j + 50)}
+        seen.update(runs)
+    return out
+
+
+def repeated_lines():
+    r = random.Random(23)
+    common, lines = [prose(70, r) for _ in range(4)], [prose(7, r) for _ in range(5)]
+    texts = []
+    for i in range(120):
+        parts = [prose(r.randrange(60), r), r.choice(common)[r.randrange(15) :], prose(r.randrange(20), r), r.choice(lines) * r.randrange(12)]
+        if i % 3 == 0:
+            parts.append(["the"] * r.randrange(150))
+        if i % 4 == 0:
+            r.shuffle(parts)
+        texts.append(" ".join(w for p in parts for w in p))
+    return [*texts, None, "", "x " * 60, "x " * 200]
+
+
+def covered(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+    return out
+
+
+def test_exact_repeats_equal_brute_force_whatever_the_partitions(spark, monkeypatch):
+    texts = repeated_lines()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, parts = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, batch in ((1, 10000), (64, 10000), (7, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found.append(sorted(substring.repeated_passages(df.repartition(n)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2]
+    got, want = covered(found[0]), brute_repeats(texts)
+    assert all(len(want[i] - got.get(i, set())) <= 3 for i in want)
+    # hot hashes in two steps: other partners, the same coverage
+    monkeypatch.setattr(substring, "TRIED", 1)
+    monkeypatch.setattr(substring, "HOT_LEAST", 5)
+    monkeypatch.setattr(substring, "SALTS", 4)
+    assert len(substring.hot_grams(substring.keyed(df)[0])) > 100
+    hot = covered(substring.repeated_passages(df).collect())
+    assert all(len(want[i] - hot.get(i, set())) <= 3 for i in want)
+
+
+def test_equal_ids_and_clashing_columns(spark):
+    passage = " ".join(prose(80))
+    rows = [(1, passage, "a", 1, "r"), (1, "other " + passage, "b", 2, "s"), (None, passage, "c", 3, "t"), (None, passage + " z", "d", 4, "u"), ((1 << 63) - 1, "big " + passage, "e", 5, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ord string, key long, spans string").withColumns({"row": F.lit(1), "cut": F.lit(2), "part": F.lit(3)})
+    out = {r.spans: r for r in substring.cut_passages(df).collect()}
+    assert len(out) == 5 and all((r.row, r.cut, r.part) == (1, 2, 3) for r in out.values())
+    assert sum(r.text == t for (_, t, *_, name) in rows for r in [out[name]]) == 1
+    assert all(len((r.text or "").split()) <= 2 or r.text in {t for _, t, *_ in rows} for r in out.values())
+    ids = {r.doc_id for r in substring.repeated_passages(df).collect()}
+    assert None in ids and (1 << 63) - 1 in ids
