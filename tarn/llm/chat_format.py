@@ -1,16 +1,18 @@
 """Chat formatting: root-to-leaf paths of reply trees as conversations, in DataFrame operations only.
 
 Paths are enumerated by iterative self-joins that double their reach: after k joins every node knows its ancestor 2^k
-replies up; after k more, every leaf its nearest 2^k ancestors, so trees of depth d take log2(d) rounds. Of each
-tree's leaves, branches are ranked by the mean score of their messages; each chosen path becomes one conversation.
+replies up and the scores on the way, so trees of depth d take log2(d) rounds. Of each tree's leaves, branches are ranked by
+the mean score of their messages; each chosen path is then written out and becomes one conversation.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles a backslash is doubled and
 ``<|`` becomes ``<\\|``, so only the template's own marks hold ``<|``; a line end in a role becomes ``<\\n|``.
 Reading back is a split at the marks and the reverse replacements.
 
 Defined results: null texts and roles are empty; null scores count as 0; ties of branches go to the smaller leaf id; a
-message whose parent is missing is a root; rows that repeat a message id of one tree count once; messages on a cycle, or under
-one, have no root and give no path; an empty table gives an empty table.
+message whose parent is missing is a root; ids of different trees have nothing to do with each other; a null tree is one tree; a
+message without an id can have no replies; of rows that repeat a message id of one tree the least by parent, role, text and
+score counts; messages on a cycle, or under one, have no root and give no path; other columns are left out; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,54 +42,87 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\n|"), F.lit("\n")))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """leaf, node and up (replies from the leaf to the node) of every root-to-leaf path.
+def _same_tree(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    messages: node, parent (null for roots); node ids are unique.
+
+def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Who has an ancestor 2^k replies up, which, and the sum of scores on the way; and who never comes to a root.
+
+    nodes: tree, node, parent (null for roots), score. Each table joins the one before it with itself, and has fewer rows.
     """
-    nodes = messages.select("node", "parent")
-    known = nodes.select(F.col("node").alias("known"))
-    # who has an ancestor 2^k replies up, and which: fewer with every round
-    jumps = [cut(nodes.join(known, F.col("parent") == F.col("known")).select("node", F.col("known").alias("far")))]
-    step, longest = 1, nodes.count()
-    while step <= longest and not jumps[-1].isEmpty():
-        further = jumps[-1].select(F.col("node").alias("via"), F.col("far").alias("further"))
-        jumps.append(cut(jumps[-1].join(further, F.col("far") == F.col("via")).select("node", F.col("further").alias("far"))))
+    known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("far"))
+    first = nodes.join(known, _same_tree("tree", "_tree") & (F.col("parent") == F.col("far")))
+    out = [cut(first.select("tree", "node", "far", F.col("score").alias("total")))]
+    longest, step = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while not out[-1].isEmpty():
+        if step > longest:  # ancestors without end: these stand on a cycle, or under one
+            return out[:-1], out[-1]
+        further = out[-1].select(F.col("tree").alias("_tree"), F.col("node").alias("via"), F.col("far").alias("_far"), F.col("total").alias("_total"))
+        both = out[-1].join(further, _same_tree("tree", "_tree") & (F.col("far") == F.col("via")))
+        out.append(cut(both.select("tree", "node", F.col("_far").alias("far"), (F.col("total") + F.col("_total")).alias("total"))))
         step *= 2
-    replied = jumps[0].select(F.col("far").alias("inner")).distinct()
-    leaves = nodes.select("node").join(replied, F.col("node") == F.col("inner"), "left_anti")
-    if step > longest and not jumps[-1].isEmpty():  # ancestors without end: these stand on a cycle, or under one
-        leaves = leaves.join(jumps[-1].select("node"), "node", "left_anti")
-    reach = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).alias("up")))
-    for k, jump in enumerate(jumps[:-1]):
-        up = jump.select(F.col("node").alias("from"), "far")
-        above = reach.join(up, F.col("node") == F.col("from")).select("leaf", F.col("far").alias("node"), (F.col("up") + 2**k).alias("up"))
-        reach = cut(reach.union(above))
+    return out[:-1], None
+
+
+def branches(nodes: DataFrame, up: list[DataFrame], endless: DataFrame | None) -> DataFrame:
+    """tree, leaf and mean score of every root-to-leaf path, without its nodes."""
+    replied = nodes.filter("parent is not null").select(F.col("tree").alias("_tree"), F.col("parent").alias("inner")).distinct()
+    at = nodes.join(replied, _same_tree("tree", "_tree") & (F.col("node") == F.col("inner")), "left_anti")
+    if endless is not None:
+        lost = endless.select(F.col("tree").alias("_tree"), F.col("node").alias("lost"))
+        at = at.join(lost, _same_tree("tree", "_tree") & (F.col("node") == F.col("lost")), "left_anti")
+    at = at.select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("sum"), F.lit(1).alias("n"))
+    for k in reversed(range(len(up))):
+        jump = up[k].select(F.col("tree").alias("_tree"), F.col("node").alias("via"), "far", "total")
+        at = at.join(jump, _same_tree("tree", "_tree") & (F.col("at") == F.col("via")), "left")
+        at = at.select("tree", "leaf", F.coalesce("far", "at").alias("at"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), (F.col("n") + F.when(F.col("far").isNotNull(), 2**k).otherwise(0)).alias("n"))
+    root = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("root"), "score")
+    done = at.join(root, _same_tree("tree", "_tree") & F.col("at").eqNullSafe(F.col("root")))
+    return done.select("tree", "leaf", ((F.col("sum") + F.col("score")) / F.col("n")).alias("branch"))
+
+
+def walks(chosen: DataFrame, up: list[DataFrame]) -> DataFrame:
+    """`chosen` (tree, leaf, rank) with node and up (replies from the leaf to the node) of each node of the leaf's path."""
+    reach = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    for k, jump in enumerate(up):
+        further = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("via"), "far")
+        above = reach.join(further, _same_tree("tree", "_tree") & (F.col("node") == F.col("via")))
+        reach = cut(reach.union(above.select("tree", "leaf", "rank", F.col("far").alias("node"), (F.col("up") + 2**k).alias("up"))))
     return reach
 
 
-def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """Nulls filled, and of rows that repeat a message id of one tree the least by parent, role, text and score."""
+    filled = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    least = filled.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("least"))
+    return least.select("tree", "node", "least.*")
+
+
+def format_trees(messages: DataFrame, top: int | None = 1, skeleton: DataFrame | None = None) -> DataFrame:
     """One conversation for each of a tree's `top` best branches (None: all).
 
     messages: tree, node, parent, role, text, score. Returns tree, leaf, rank (from 1), n_turns, formatted and
-    loss_spans, the code point ranges [start, end) of `formatted` that carry the assistant's texts.
+    loss_spans, the code point ranges [start, end) of `formatted` that carry the assistant's texts. Slim rows find and
+    rank the paths; only those of chosen leaves are written out, and texts come in last. `skeleton` is the tree, node,
+    parent and score of all messages with ids that don't repeat, where these can be had without their texts.
     """
-    turns = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).dropDuplicates(["node"])
-    walks = paths(turns)
-    scored = walks.join(turns.select(F.col("node").alias("_node"), "tree", "score"), F.col("node") == F.col("_node")).groupBy("tree", "leaf").agg(F.avg("score").alias("branch"))
+    turns = distinct_messages(messages) if skeleton is None else messages
+    nodes = cut((turns if skeleton is None else skeleton).select("tree", "node", "parent", "score"))
+    up, endless = jumps(nodes)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch"), "leaf"))
-    chosen = scored.withColumn("rank", rank)
+    chosen = branches(nodes, up, endless).withColumn("rank", rank)
     if top is not None:
         chosen = chosen.filter(F.col("rank") <= top)
-    chosen = chosen.select("tree", F.col("leaf").alias("_leaf"), "rank")
-    marked = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
-    before = F.char_length(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
-    texts = turns.select(F.col("node").alias("_node"), marked.alias("turn"), (F.col("role") == LEARNT).alias("learnt"), before.alias("before")).withColumn("chars", F.char_length("turn"))
-    placed = walks.join(chosen, F.col("leaf") == F.col("_leaf")).join(texts, F.col("node") == F.col("_node"))
+    path = walks(cut(chosen.select("tree", "leaf", "rank")), up)
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
+    said = turns.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.concat(head, escape(text), F.lit(END)).alias("turn"), (role == LEARNT).alias("learnt"), F.char_length(head).alias("before"))
+    placed = path.join(said, _same_tree("tree", "_tree") & F.col("node").eqNullSafe(F.col("_node"))).withColumn("chars", F.char_length("turn"))
     w = Window.partitionBy("tree", "leaf").orderBy(F.desc("up"))
     placed = placed.withColumn("begin", F.sum("chars").over(w) - F.col("chars"))
     span = F.when(F.col("learnt"), F.struct((F.col("begin") + F.col("before")).cast("long").alias("start"), (F.col("begin") + F.col("chars") - len(END)).cast("long").alias("end")))
-    rows = placed.groupBy("tree", "leaf", "rank").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("begin", "turn"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
+    rows = placed.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("begin", "turn"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
     return rows.select("tree", "leaf", "rank", "n_turns", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
 
 
@@ -109,14 +144,15 @@ def learnt_texts(formatted: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
 
 
-def conversations_as_trees(conversations: DataFrame) -> DataFrame:
-    """Tables of turns as reply trees without branches: each turn replies to the one before it.
+def _chain(conversations: DataFrame, order: list[str], *more: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    turns = conversations.select("conv_id", *more, nth.alias("node"))
+    return turns.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), *more, F.lit(0.0).alias("score"))
+
+
+def conversations_as_trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of turns as reply trees without branches, each turn a reply to the one before it, and their skeleton.
 
-    Turns of one number are ordered by role and text, nulls first.
+    Turns of one number are ordered by role and text, nulls first; the skeleton doesn't depend on that order.
     """
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))
-    turns = conversations.select("conv_id", "role", "text", nth.alias("nth"))
-    name = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), n.cast("string"))
-    parent = F.when(F.col("nth") > 1, name(F.col("nth") - 1))
-    return turns.select(F.col("conv_id").alias("tree"), name(F.col("nth")).alias("node"), parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return _chain(conversations, ["turn", "role", "text"], "role", "text"), _chain(conversations, ["turn"])

@@ -95,6 +95,11 @@ def test_shards_are_tar_files(spark, tmp_path):
     assert {h.digest for h in heads} == {r.digest for r in index.collect()} and all((h.width, h.height) == (192, 1) for h in heads)
 
 
+def numbered(df):
+    messages, skeleton = chat_format.conversations_as_trees(df)
+    return {"messages": messages, "skeleton": skeleton}
+
+
 CHAT = "tree string, node string, parent string, role string, text string, score double, path string"
 
 
@@ -108,12 +113,27 @@ def test_branches_are_ranked(spark):
     assert chat_format.format_trees(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_ids_of_different_trees_and_repeated_ids(spark):
+    rows = [(t, i, p, "user", f"{t}{i}", None, "") for t in ("t1", "t2", None) for i, p in (("1", None), ("2", "1"))]
+    rows += [("t1", "2", "1", "user", "a later repeat", 5.0, ""), ("t1", "2", "1", "assistant", "the least", 5.0, ""), ("t2", None, None, "user", "no id", 9.0, "")]
+    got = sorted((str(r.tree), str(r.leaf), r.n_turns, r.formatted.count("the least")) for r in chat_format.format_trees(spark.createDataFrame(rows, CHAT), None).collect())
+    assert got == [("None", "2", 2, 0), ("t1", "2", 2, 1), ("t2", "2", 2, 0), ("t2", "None", 1, 0)]
+
+
+def test_comb(spark):
+    """A leaf at every message of a long chain: paths are ranked without being written out."""
+    n = 10_000
+    rows = [("t", str(i), str(i - 1) if i else None, "user", "s", 0.5, "") for i in range(n)] + [("t", f"x{i}", str(i), "assistant", "leaf", 0.9 if i == 4321 else 0.0, "") for i in range(n)]
+    got = chat_format.format_trees(spark.createDataFrame(rows, CHAT)).collect()
+    assert [(r.leaf, r.n_turns) for r in got] == [("x4321", 4323)]
+
+
 def test_escapes_are_reversible(spark):
     parts = ["<|im_end|>\n", "<|im_start|>", "\\", "<", "|", "\n", "<|", "x", "<\\|", "ö"]
     texts = ["".join(R.choice(parts) for _ in range(R.randrange(12))) for _ in range(300)]
     rows = [(i // 3, i % 3, R.choice(["user", "assistant", "a\nb<|", None]), R.choice([t, t, None])) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    done = chat_format.format_trees(chat_format.conversations_as_trees(df))
+    done = chat_format.format_trees(**numbered(df))
     got = done.select("tree", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.learnt_texts(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
     assert len(got) == 100
     for r in got:
@@ -125,7 +145,7 @@ def test_escapes_are_reversible(spark):
 def test_long_chain(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)] + [(None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.tree: r for r in chat_format.format_trees(chat_format.conversations_as_trees(df)).collect()}
+    got = {r.tree: r for r in chat_format.format_trees(**numbered(df)).collect()}
     assert got[1].n_turns == 300 and got[None].n_turns == 1
     assert got[1].formatted == "".join(f"<|im_start|>{b}\n{c}<|im_end|>\n" for _, _, b, c in rows[:300])
 
