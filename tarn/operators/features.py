@@ -13,6 +13,7 @@ from .rolling import MinRows, dry_days, lags, prior, prior_stats, tenth
 
 # fixed values: the columns of the daily weather panel
 WEATHER = ("prec", "surf_pre", "humidity", "tmp", "dp_tmp", "wb_tmp", "tmp_max", "tmp_min", "tmp_range", "surf_tmp", "wind", "wind_max", "wind_min", "wind_range")
+# fixed values: the derived indices, in the order that models see
 INDICES = ("prec_deficit_90d", "prec_trend_30d", "humidity_deficit_90d", "tmp_anomaly_90d", "heat_drought_idx", "dry_days_14d", "dry_days_30d")
 
 
@@ -41,7 +42,8 @@ class FeatureSet:
     """One version of the features; `names` is the order that models see."""
 
     raw: tuple[str, ...] = WEATHER
-    lag_columns: tuple[str, ...] = ("prec", "humidity", "tmp", "tmp_max", "tmp_min", "wind", "surf_tmp")
+    # fixed values: columns, steps and widths of the published feature list
+    lag_columns: tuple[str, ...] = ("tmp_range", "tmp_max", "tmp", "prec", "wind", "surf_pre", "humidity")
     lag_steps: tuple[int, ...] = (1, 3, 7, 14, 21)
     roll_columns: tuple[str, ...] = ("prec", "humidity", "tmp", "wind", "surf_pre", "dp_tmp")
     roll_widths: tuple[int, ...] = (7, 14, 30, 60, 90, 180)
@@ -73,6 +75,7 @@ class FeatureSet:
 
 
 FULL = FeatureSet()
+# fixed values: what the published versions leave out
 VERSIONS = {
     "v31": FULL,
     "v30": replace(FULL, spi=()),

@@ -128,6 +128,6 @@ query("distinct_regions", "SELECT DISTINCT region_id FROM panel", lambda s, d: p
 query("set_diff", "SELECT DISTINCT region_id FROM panel EXCEPT SELECT region_id FROM panel WHERE score >= 3", lambda s, d: (lambda p: p.select(R).subtract(p.filter("score >= 3").select(R)))(panel(s, d)))
 query("unpivot_preds", f"SELECT region_id, unnest([1, 2, 3, 4, 5])::BIGINT AS week, unnest([{', '.join(f'pred_week{k}' for k in range(1, 6))}]) AS pred FROM {_FORECAST('b')}", lambda s, d: _forecast(s, d).unpivot([R], [f"pred_week{k}" for k in range(1, 6)], "w", "pred").select(R, F.substring("w", 10, 1).cast("long").alias("week"), "pred"), "pred")
 query("dup_check", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", lambda s, d: summaries.duplicates(s.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]))
-query("consistency_check", "SELECT count(*) FILTER (tmp_max < tmp_min) AS max_below_min, count(*) FILTER (tmp < tmp_min OR tmp > tmp_max) AS tmp_outside FROM panel", lambda s, d: summaries.consistency(panel(s, d)))
+query("consistency_check", "SELECT count(*) FILTER (tmp_max < tmp_min) AS max_below_min, count(*) FILTER (tmp < tmp_min OR tmp > tmp_max) AS tmp_outside, count(*) FILTER (surf_pre < 80) AS low_pressure FROM panel", lambda s, d: summaries.consistency(panel(s, d), "surf_pre"))
 query("calendar_gaps", "SELECT region_id, count(g) AS n_gaps, max(g) AS max_gap, avg(g) AS mean_gap FROM (SELECT region_id, CASE WHEN ordinal - lag(ordinal) OVER o > 1 THEN ordinal - lag(ordinal) OVER o END AS g FROM panel WINDOW o AS (PARTITION BY region_id ORDER BY ordinal)) GROUP BY 1", lambda s, d: summaries.calendar_gaps(panel(s, d)), "mean_gap")
 query("label_gaps", "SELECT step, count(*) AS n FROM (SELECT ordinal - lag(ordinal) OVER (PARTITION BY region_id ORDER BY ordinal) AS step FROM labelled) WHERE step IS NOT NULL GROUP BY 1", lambda s, d: summaries.label_gaps(panel(s, d)))

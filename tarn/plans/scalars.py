@@ -27,17 +27,24 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 
-def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _csv_round_trip(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
     path = _scratch(spark)
     days = panel(spark, sf_dir)
     text = days.select(F.concat(F.lit("R"), "region_id").alias("region_id"), cal.join_date(F.col("year"), F.col("month"), F.col("day")).alias("date"), *MINI, "score")
     text.write.option("header", True).csv(path)
-    return files.read_panel_csv(spark, path, MINI).select("region_id", "date", "year", "month", "day", "ordinal", *MINI, "score")
+    return files.read_panel_csv(spark, path, MINI, rows=rows).select("region_id", "date", "year", "month", "day", "ordinal", *MINI, "score")
 
 
 _CSV = f"SELECT 'R' || region_id AS region_id, printf('%04d-%02d-%02d', year, month, day) AS date, year, month, day, ordinal, {', '.join(MINI)}, score FROM panel"
 query("src_csv", _CSV, _csv_round_trip, "prec tmp humidity score")
-query("src_csv_pyarrow", "SELECT count(*) AS n, CAST(1000 AS BIGINT) AS quick FROM panel", lambda s, d: _csv_round_trip(s, d).agg(F.count("*").alias("n"), F.lit(1000).alias("quick")))
+
+
+def _quick_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda rows, name: _csv_round_trip(spark, sf_dir, rows).agg(F.count("*").alias(name), F.count("prec").alias(f"{name}_values"))
+    return count(None, "n").crossJoin(count(1000, "quick"))
+
+
+query("src_csv_pyarrow", "SELECT count(*) AS n, count(prec) AS n_values, least(count(*), 1000) AS quick, least(count(prec), 1000) AS quick_values FROM panel", _quick_csv)
 
 
 def _parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ def _lags(name: str, columns: tuple[str, ...], steps: tuple[int, ...]) -> None:
     query(name, f"SELECT {K}, {sql} FROM panel {O}", lambda s, d: panel(s, d).select(*KEY, *rolling.lags(columns, steps)), " ".join(f"{x}_lag{k}" for x in columns for k in steps))
 
 
-_lags("lag_weather", ("prec", "humidity", "tmp", "tmp_max", "tmp_min", "wind", "tmp_range"), (1, 3, 7, 14, 21))
-_lags("lag_weather_v1", ("prec", "tmp", "tmp_max", "tmp_min", "wind", "tmp_range"), (1, 3, 7, 14, 21))
-_lags("lag_weather_v8", ("prec", "humidity", "tmp"), (1, 3, 7, 14, 21, 28))
+# fixed values: the lagged columns and steps of the published versions
+_LAG = ("tmp_range", "tmp_max", "tmp", "prec", "wind", "surf_pre", "humidity")
+_lags("lag_weather", _LAG, (1, 3, 7, 14, 21))
+_lags("lag_weather_v1", ("tmp_range", "tmp_max", "tmp", "prec", "wind", "surf_pre"), (1, 3, 7, 14, 21))
+_lags("lag_weather_v8", _LAG, (1, 3, 7, 14, 21, 28))
 
 
 def _rolls(name: str, columns: tuple[str, ...], widths: tuple[int, ...], stats: tuple[str, ...], least: rolling.MinRows = rolling.tenth) -> None:
@@ -36,9 +38,9 @@ def _rolls(name: str, columns: tuple[str, ...], widths: tuple[int, ...], stats:
 
 
 _W = (7, 14, 30, 60, 90, 180)
-_rolls("roll_mean", ("prec", "humidity", "tmp", "wind"), _W, ("mean",))
-_rolls("roll_std", ("prec", "humidity", "tmp", "wind"), _W, ("std",))
-_rolls("roll_max", ("prec", "humidity", "tmp", "wind"), _W, ("max",))
+_rolls("roll_mean", ("prec", "humidity", "tmp", "wind", "surf_pre", "dp_tmp"), _W, ("mean",))
+_rolls("roll_std", ("prec", "humidity", "tmp", "wind", "surf_pre", "dp_tmp"), _W, ("std",))
+_rolls("roll_max", ("prec", "humidity", "tmp", "wind", "surf_pre", "dp_tmp"), _W, ("max",))
 _rolls("roll_short", ("prec", "tmp"), (7, 14, 30, 60, 90), ("mean", "std"))
 _rolls("roll_long", ("prec", "tmp"), (*_W, 270, 365), ("mean", "max"))
 _rolls("roll_fixed_min", ("prec", "tmp"), (7, 14, 28), ("mean", "std"), lambda w: 3)

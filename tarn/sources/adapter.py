@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import ordinal
 
+#: Measures that few queries read.
+MORE = ("surf_pre", "dp_tmp", "surf_tmp")
 MEASURES = ("prec", "tmp", "humidity", "wind", "tmp_min", "tmp_max", "tmp_range")
 
 
@@ -25,11 +27,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.sum("l_quantity").alias("prec"), percent("l_discount").alias("tmp"), percent("l_tax").alias("humidity"), F.max("l_linenumber").cast("double").alias("wind"), F.min("l_extendedprice").alias("tmp_min"),
             F.max("l_extendedprice").alias("tmp_max"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("_r"),
+            F.max("l_quantity").alias("surf_pre"), F.min("l_quantity").alias("dp_tmp"), F.max("l_discount").alias("surf_tmp"),
         )
     )
     day = ordinal(F.col("year"), F.col("month"), F.col("day"))
     score = F.when(F.col("ordinal") % 7 == 3, F.least(F.lit(5), F.col("_r")).cast("double"))
-    return days.withColumn("ordinal", day).select("region_id", "year", "month", "day", "ordinal", *MEASURES[:-1], (F.col("tmp_max") - F.col("tmp_min")).alias("tmp_range"), score.alias("score"))
+    return days.withColumn("ordinal", day).select("region_id", "year", "month", "day", "ordinal", *MEASURES[:-1], (F.col("tmp_max") - F.col("tmp_min")).alias("tmp_range"), *MORE, score.alias("score"))
 
 
 #: The same panel for other engines; `panel` is the name of the last table.
@@ -38,9 +41,10 @@ PANEL_SQL = """d AS (
          sum(l_quantity) AS prec, min(l_extendedprice) AS tmp_min, max(l_extendedprice) AS tmp_max,
          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS tmp,
          CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS humidity,
-         CAST(max(l_linenumber) AS DOUBLE) AS wind, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r
+         CAST(max(l_linenumber) AS DOUBLE) AS wind, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r,
+         max(l_quantity) AS surf_pre, min(l_quantity) AS dp_tmp, max(l_discount) AS surf_tmp
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4),
 panel AS (
-  SELECT region_id, year, month, day, year * 372 + month * 31 + day AS ordinal, prec, tmp, humidity, wind, tmp_min, tmp_max, tmp_max - tmp_min AS tmp_range,
+  SELECT region_id, year, month, day, year * 372 + month * 31 + day AS ordinal, prec, tmp, humidity, wind, tmp_min, tmp_max, tmp_max - tmp_min AS tmp_range, surf_pre, dp_tmp, surf_tmp,
          CASE WHEN (year * 372 + month * 31 + day) % 7 = 3 THEN CAST(least(5, r) AS DOUBLE) END AS score
   FROM d)"""

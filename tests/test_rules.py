@@ -92,6 +92,12 @@ def test_no_feature_sees_the_future(spark):
 
 
 def test_full_feature_names():
+    weather = "prec surf_pre humidity tmp dp_tmp wb_tmp tmp_max tmp_min tmp_range surf_tmp wind wind_max wind_min wind_range".split()
+    lagged = [f"{c}_lag{k}" for c in "tmp_range tmp_max tmp prec wind surf_pre humidity".split() for k in (1, 3, 7, 14, 21)]
+    rolled = [f"{c}_roll{w}_{s}" for c in "prec humidity tmp wind surf_pre dp_tmp".split() for w in (7, 14, 30, 60, 90, 180) for s in ("mean", "std", "max")]
+    rest = "month_sin month_cos day_sin day_cos prec_deficit_90d prec_trend_30d humidity_deficit_90d tmp_anomaly_90d heat_drought_idx dry_days_14d dry_days_30d regional_mean_score regional_seasonal_mean".split()
+    rest += [f"rsm_fw_wk{k}" for k in range(1, 6)] + "prec_spi30 prec_spi90 prec_spi180 tmp_spi90".split()
+    assert features.FULL.names == weather + lagged + rolled + rest
     assert len(features.FULL.names) == 179
     assert {k: len(v.names) for k, v in features.VERSIONS.items()} == {"v31": 179, "v30": 175, "v29": 139, "v27": 133, "v24": 134}
 
