@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import ALNUM, U, Words, give_back, mix, passes, words
@@ -26,8 +26,12 @@ from .words import ALNUM, U, Words, give_back, mix, passes, words
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS = 13, 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 8, 12, 12
-#: Labelled documents of each class that training takes at most, and windows of each.
-SAMPLE, SAMPLE_WINDOWS, EPOCHS = {1: 700, 0: 2800}, 8, 7
+#: Labelled documents of each class that training takes at most, letters of all of a class's and of one document.
+SAMPLE, SAMPLE_CHARS, DOC_CHARS, EPOCHS = {1: 500, 0: 1500}, 20_000_000, 500_000, 7
+#: Texts and windows that one training step takes.
+STEP_TEXTS, STEP_WINDOWS = 48, 1200
+#: How much a text's logit follows its most toxic windows: one among exp(6 * SHARP) windows decides it, if 6 above them.
+SHARP = 3.0
 #: Windows that one numpy step scores.
 CHUNK = 2048
 
@@ -135,12 +139,25 @@ def _by_doc(logit: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
     """Texts' logits, and their windows' shares in them; texts without windows have -inf."""
     top = np.full(n, -np.inf)
     np.maximum.at(top, doc, logit)
-    weight = np.exp(logit - top[doc])
+    weight = np.exp(SHARP * (logit - top[doc]))
     weight /= np.bincount(doc, weight, n)[doc]
     total = np.bincount(doc, weight * logit, n)
     return np.where(np.isinf(top), top, total), weight
 
 
+def _steps(order: np.ndarray, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    """Texts in this order, in steps of a bounded number of windows."""
+    held, n = [], 0
+    for i in order.tolist():
+        if held and (len(held) == STEP_TEXTS or n + len(texts[i]) > STEP_WINDOWS):
+            yield np.array(held)
+            held, n = [], 0
+        held.append(i)
+        n += len(texts[i])
+    if held:
+        yield np.array(held)
+
+
 def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> Params:
     """Train on documents given as lists of windows."""
     rng = np.random.default_rng(seed)
@@ -154,7 +171,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 5, epochs: int =
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 48)):
+        for part in _steps(rng.permutation(len(texts)), texts):
             rows = [t for i in part for t in texts[i]]
             doc = np.repeat(np.arange(len(part)), [len(texts[i]) for i in part])
             w = words(pa.array(rows, pa.string()), ALNUM)
@@ -240,15 +257,14 @@ def toxicity(text: Column, p: Params) -> Column:
     return score(text)
 
 
-def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic, rows = [], []
         for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
             w = words(_lower(pa.array([text.as_py()], pa.string())), ALNUM)
             _, begin, size = windows(w)
-            chosen = np.unique(np.linspace(0, len(begin) - 1, SAMPLE_WINDOWS).astype(int)) if len(begin) else []
             raw = w.data.tobytes()
-            rows.append([raw[w.start[begin[i]] : w.end[begin[i] + size[i] - 1]].decode() for i in chosen])
+            rows.append([raw[w.start[b] : w.end[b + n - 1]].decode() for b, n in zip(begin.tolist(), size.tolist(), strict=True)])
             toxic.append(label)
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["toxic", "windows"])
 
@@ -256,15 +272,22 @@ def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Params | float:
     """Parameters, or the one score that all texts get if only one class is labelled.
 
-    `labels` (doc_id, toxic) must hold the training rows only. Of each class at most `sample` documents are taken, chosen
-    by a hash of their id, and of each at most SAMPLE_WINDOWS windows, spread over the text.
+    `labels` (doc_id, toxic) must hold the training rows only. Of each class at most `sample` documents of at most DOC_CHARS
+    letters are taken, in the order of a hash of their id, until SAMPLE_CHARS; all windows of these are learnt from.
+    Rows that repeat an id are taken once each, in the order of their texts, while there is room.
     """
     sample = sample or SAMPLE
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64(F.col("doc_id"), F.lit(3)), F.col("doc_id"))
     chosen = [known.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in sample.items()]
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("toxic", "text")
-    rows = found.mapInArrow(_some_windows, "toxic int, windows array<string>").limit(2 * sum(sample.values())).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").filter(F.char_length("text") <= DOC_CHARS)
+    sizes = found.select("toxic", "doc_id", F.char_length("text").alias("chars"), F.xxhash64("text").alias("which")).dropDuplicates(["doc_id", "which"])
+    w = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id", "which")  # a few thousand slim rows
+    sizes = sizes.withColumns({"sum": F.sum("chars").over(w), "nth": F.row_number().over(w)})
+    most = F.create_map(*(F.lit(x) for pair in sample.items() for x in pair))[F.col("toxic")]
+    fits = sizes.filter((F.col("sum") <= SAMPLE_CHARS) & (F.col("nth") <= most)).select("doc_id", "which")
+    texts = found.withColumn("which", F.xxhash64("text")).join(F.broadcast(fits), ["doc_id", "which"]).dropDuplicates(["doc_id", "which"])
+    rows = texts.select("toxic", "text").mapInArrow(_windows, "toxic int, windows array<string>").collect()
     rows = sorted((int(r["toxic"]), list(r["windows"])) for r in rows if r["windows"])
     classes = {t for t, _ in rows}
     if len(classes) < 2:
