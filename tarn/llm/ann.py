@@ -3,8 +3,13 @@
 Every table turns unit vectors by three rounds of random signs and a fast Hadamard transform and assigns each to
 its nearest signed axis, 2d cells a table. A query probes, in every table, the cells of its largest coordinates;
 each cell's members are compared exactly, in double precision, with the queries that probe it, and the best of all
-cells win. A cell is dealt over blocks of at most BLOCK vectors, so a vector that a third of all rows repeat
-spreads over many tasks; what leaves a block is the best k of each query, never its pairs.
+cells win. A cell is dealt over blocks of about BLOCK vectors and its queries over groups of about BLOCK, so a vector that a
+third of all rows repeat spreads over many tasks, and a task holds one block and one group. What leaves a block is the
+best k of each query, never its pairs.
+
+The cells of a table are 2d, whatever the number of vectors. Queries that are a fixed share of the rows meet a fixed share of
+the vectors, so comparisons grow with the square of the rows, and so do, beyond BLOCK vectors in a cell, the copies of
+queries that cross the shuffle: one for each block of each cell that they probe.
 
 Defined results: vectors that are null, of another length than most, zero, or hold nulls or non-finite components
 take no part, neither as queries nor as candidates; null ids take no part; rows that repeat an id are candidates of
@@ -119,7 +124,7 @@ def _nearest(k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i + row[keep]]), pa.array(vi[col[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            block = list(zip(batch.column("cell").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            block = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "group")), strict=True))
             is_query = np.array(batch.column("is_query").to_pylist(), bool)
             i = 0
             while i < len(block):
@@ -163,12 +168,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     asked = rows.filter("is_query").select("id", "vector").dropDuplicates(["id", "vector"]).mapInArrow(_cells(signs, probes), schema).select("id", "vector", F.explode("cells").alias("cell"))
     blocks = cut(index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # 2 d rows a table at most
     def search(queries: DataFrame) -> DataFrame:
-        spread = queries.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"))
-        together = salted.union(spread).repartition("cell", "block").sortWithinPartitions("cell", "block")
+        groups = cut(queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups")))  # 2 d rows a table at most
+        group = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("groups")).cast("int")
+        spread = queries.join(F.broadcast(blocks), "cell").join(F.broadcast(groups), "cell")
+        spread = spread.select("id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), group.alias("group"), F.lit(True).alias("is_query"))
+        # cells that no query probes stay out
+        held = salted.join(F.broadcast(groups), "cell").select("id", "vector", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("is_query"))
+        together = held.union(spread).repartition("cell", "block", "group").sortWithinPartitions("cell", "block", "group")
         found = together.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    salted = index.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"))
+    salted = index.join(F.broadcast(blocks), "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("block"))
     best = cut(search(asked))
     # queries whose cells held fewer than k candidates meet every vector, through all cells of the first table
     enough = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
