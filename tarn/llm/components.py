@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, joined
 
 
 def connected(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of `links` (a, b).
 
     Each round takes the smallest label among neighbours, then follows that label's own label, so a path of n nodes
-    takes about log n rounds. A node with very many links only receives or sends minima, which are combined before the
-    shuffle.
+    takes about log n rounds. Labels that a node with very many links receives are combined before the shuffle; those that
+    it sends are dealt over parts.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    degree = cut(both.groupBy("b").agg(F.count("*").alias("links")))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).select(F.col("a").alias("node"), "component"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = joined(both, labels.select(F.col("node").alias("b"), "component").join(degree, "b"), "b", "links").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
         after = cut(least.join(jump, "low", "left").select("node", "old", F.least("low", "lower").alias("component")))

@@ -31,15 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import cut, table
+from .shared import cut, joined, table
 from .words import BASE, SPACED, U, give_back, mix, occurrences, passes, shingles, words
 
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 2
 COORDINATES = BANDS * ROWS
-#: The second round looks at members with at least this similarity to the head: texts that reach the threshold share
-#: two bands of five, and some of the heads of these resemble them.
-HEAD_SHARE = 0.3
 #: Shingles of a head's members, and members, that one block holds.
 BLOCK, BLOCK_MEMBERS = 200_000, 768
 
@@ -305,11 +302,11 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *(F.get(F.col("sketch"), b * ROWS + r) for r in range(ROWS)))))
     members = cut(nodes.select("node", band.alias("bucket")))
     counts = members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = cut(members.join(counts, "bucket"))  # of buckets with several members
+    members = cut(joined(members, cut(counts), "bucket", "members"))  # of buckets with several members
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = members.join(weight, "node")
-    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
-    members = cut(members.join(heads, "bucket"))
+    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"), F.count("*").alias("members"))
+    members = cut(joined(members.select("node", "bucket"), cut(heads), "bucket", "members"))
     # first round: each text with the heads of its buckets
     pairs = members.filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     named = members.select("node").distinct()
@@ -320,7 +317,7 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     linked = first.filter("similarity > 0")
     component = connected(linked)
     # second round: members of one head that are in several components
-    near = first.filter(F.col("jaccard") >= HEAD_SHARE).select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
+    near = first.select(F.col("a").alias("node"), F.col("b").alias("head"), F.col("jaccard").alias("near"))
     near = near.union(near.select(F.col("head").alias("node"), "head", F.lit(1.0)).distinct())
     placed = near.join(component, "node", "left").select("node", "head", "near", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n"), "node")
     # The members of a head's largest component need not meet each other: they have blocks of their own behind those of the rest.
@@ -345,16 +342,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     component = connected(links(docs, rows, threshold))
     # a node without words is told by its sketch: no row of it has one
     worded = rows.groupBy("node").agg(F.max("n").alias("words"), F.count("*").alias("copies"))
-    named = worded.join(component, "node", "left")
     own = F.when(F.col("words") > 0, F.coalesce("component", "node"))
-    return rows.select("doc_id", "node").join(named.select("node", own.alias("class")), "node")
+    named = cut(worded.join(component, "node", "left").select("node", own.alias("class"), "copies"))
+    return joined(rows.select("doc_id", "node"), named, "node", "copies")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the smallest id of its class) of every row."""
     placed = cut(classes(docs, threshold))
-    least = placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    known = placed.filter("class is not null").join(least, "class").select("doc_id", "class_id")
+    least = cut(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")))
+    known = joined(placed.filter("class is not null"), least, "class", "members").select("doc_id", "class_id")
     return known.union(placed.filter("class is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
@@ -363,8 +360,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = cut(classes(docs, threshold).filter("class is not null"))
     size = placed.groupBy("class").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("kept"))
     # rows that go: all of larger classes but the kept one; rows equal to it in id and text leave one
-    kept = size.filter("rows > 1").select("class", F.col("kept.doc_id").alias("k_id"), F.col("kept.node").alias("k_node"))
-    gone = placed.join(kept, "class").groupBy("doc_id", "node").agg(F.max((F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node"))).cast("int")).alias("__stays"), F.count("*").alias("rows"))
+    kept = cut(size.filter("rows > 1").select("class", F.col("kept.doc_id").alias("k_id"), F.col("kept.node").alias("k_node"), F.col("rows").alias("members")))
+    gone = joined(placed, kept, "class", "members").groupBy("doc_id", "node").agg(F.max((F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node"))).cast("int")).alias("__stays"), F.count("*").alias("rows"))
     gone = cut(gone).select(F.col("doc_id").alias("__g_id"), F.col("node").alias("__g_node"), "__stays", F.col("rows").alias("__g_rows"))
     node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     found = docs.withColumn("__node", node).join(gone, (F.col("__node") == F.col("__g_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__g_id")), "left")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys with at least so many rows, and a thousandth of all, are dealt over so many parts in a join.
+HOT_ROWS, HOT_SALTS = 1000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame:
+    """Keys of `counts` with very many rows: a thousand at most, so they can be broadcast."""
+    least = max(HOT_ROWS, (counts.agg(F.sum(rows)).first()[0] or 0) // 1000)
+    return F.broadcast(counts.filter(F.col(rows) >= least).select(key, F.lit(True).alias("__hot")))
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
+    """`many` with the columns of `one`, which has each key once and in `rows` how many rows of `many` have it.
+
+    Rows of a key that a large share of `many` has are spread over parts, each of which gets a copy of `one`'s row.
+    """
+    hot = hot_keys(one, key, rows)
+    by = [c for c in many.columns if c != key] or [key]
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, key, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    right = one.join(hot, key, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def table(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, as compressed Parquet: for wide rows such as texts."""
     path = shared_dir(df.sparkSession)

@@ -191,7 +191,9 @@ def brute_nearest(ids, x, queries, k=5):
     return out
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("block", [4096, 32])
+def test_recall(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     pdf = df.toPandas()
     x, ids = np.stack(pdf.embedding.values).astype(float), pdf.vec_id.values
@@ -338,3 +340,27 @@ def test_equal_ids_and_clashing_columns(spark):
     assert all(len((r.text or "").split()) <= 2 or r.text in {t for _, t, *_ in rows} for r in out.values())
     ids = {r.doc_id for r in substring.repeated_passages(df).collect()}
     assert None in ids and (1 << 63) - 1 in ids
+
+
+def test_unlike_texts_under_one_boilerplate(spark):
+    """Buckets that boilerplate fills: their heads resemble hardly anyone, and copies among the rest are found all the same."""
+    r = random.Random(31)
+    boiler = prose(90, r)
+    texts = []
+    for _ in range(16):
+        own = prose(25, r)
+        texts += [" ".join(boiler + own), " ".join(boiler + edited(own, 2, r)), " ".join(edited(boiler, 12, r) + own)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()}
+    want = brute_classes(texts)
+    assert got == want and 1 < len(set(want.values())) < len(texts)
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from tarn.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT_SALTS", 3)
+    texts = fixture_texts() + ["equal text of some words here"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()} == brute_classes(texts)
