@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, joined
+from .shared import cut, dealt, hot_keys
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -16,10 +16,10 @@ def connected(links: DataFrame) -> DataFrame:
     it sends are dealt over parts.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
-    degree = cut(both.groupBy("b").agg(F.count("*").alias("links")))
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("links")), "b", "links")
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).select(F.col("a").alias("node"), "component"))
     while True:
-        near = joined(both, labels.select(F.col("node").alias("b"), "component").join(degree, "b"), "b", "links").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = dealt(both, labels.select(F.col("node").alias("b"), "component"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
         after = cut(least.join(jump, "low", "left").select("node", "old", F.least("low", "lower").alias("component")))

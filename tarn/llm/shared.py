@@ -39,18 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
 HOT_ROWS, HOT_SALTS = 1000, 64
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame:
-    """Keys of `counts` with very many rows: a thousand at most, so they can be broadcast."""
-    least = max(HOT_ROWS, (counts.agg(F.sum(rows)).first()[0] or 0) // 1000)
-    return F.broadcast(counts.filter(F.col(rows) >= least).select(key, F.lit(True).alias("__hot")))
+def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame | None:
+    """Keys of `counts` with very many rows, if there are such: a thousand at most, so they can be broadcast."""
+    total, top = counts.agg(F.sum(rows), F.max(rows)).first()
+    least = max(HOT_ROWS, (total or 0) // 1000)
+    return F.broadcast(counts.filter(F.col(rows) >= least).select(key, F.lit(True).alias("__hot"))) if (top or 0) >= least else None
 
 
 def joined(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
-    """`many` with the columns of `one`, which has each key once and in `rows` how many rows of `many` have it.
+    """`dealt` by the counts that `one` has."""
+    return dealt(many, one, key, hot_keys(one, key, rows))
 
-    Rows of a key that a large share of `many` has are spread over parts, each of which gets a copy of `one`'s row.
+
+def dealt(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """`many` with the columns of `one`, which has each key once.
+
+    Rows of a `hot` key that a large share of `many` has are spread over parts, each of which gets a copy of `one`'s row.
     """
-    hot = hot_keys(one, key, rows)
+    if hot is None:
+        return many.join(one, key)
     by = [c for c in many.columns if c != key] or [key]
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(HOT_SALTS))).otherwise(F.lit(0))
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
