@@ -10,17 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set on its context; one of our own only where everything runs on one machine."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tarn-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of a fresh folder under the session's checkpoint directory.
 
     A cluster names the shared folder in ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) is a folder of our own made.
     """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-        base = sc.getCheckpointDir()
+    base = _checkpoint_dir(spark)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{os.path.abspath(base)}"
     return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
@@ -28,10 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder once and go on from the files."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
