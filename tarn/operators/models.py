@@ -17,11 +17,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import band_weight, clip_score
+from ..functions.measures import band_weight, clip_score, linear_weight
 from .evaluation import absolute_error
+from .features import WEATHER
 from .splits import HORIZONS
 
 
@@ -34,6 +35,9 @@ def _inputs(names: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=[*names, *(f"{n}_missing" for n in names)], outputCol="features")
 
 
+#: Trees at most where boosting stops early.
+MAX_TREES = 40
+
 FAMILIES: dict[str, Callable[[int], object]] = {
     "squared": lambda seed: GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed),
     "second": lambda seed: GBTRegressor(maxIter=15, maxDepth=5, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
@@ -68,21 +72,64 @@ class Horizons:
         return spark.createDataFrame(list(zip(self.names, gains, strict=True)), "feature string, gain double")
 
 
-def train(df: DataFrame, names: Sequence[str], family: str = "squared", seed: int = 42, weighted: bool = False) -> Horizons:
+#: Weights of a row by its target.
+WEIGHTS: dict[str, Callable[[Column], Column]] = {"band": band_weight, "linear": linear_weight}
+
+
+def train(df: DataFrame, names: Sequence[str], family: str = "squared", seed: int = 42, weights: str | None = None, held: str | None = None, trees: Sequence[int] | None = None) -> Horizons:
+    """One ensemble for each horizon.
+
+    `held` names a boolean column: boosting stops where the error on its rows falls no more, and keeps the trees up to the
+    best. `trees` sets the number of trees for each horizon instead.
+    """
     ready = imputed(df, names)
     models = []
     for k in range(1, HORIZONS + 1):
         rows = ready.filter(F.col(f"y{k}").isNotNull())
         tree = FAMILIES[family](seed + k - 1).setLabelCol(f"y{k}").setFeaturesCol("features")
-        if weighted:
-            rows = rows.withColumn("weight", band_weight(F.col(f"y{k}")))
+        if held:
+            tree = tree.setParams(validationIndicatorCol=held, maxIter=MAX_TREES)
+        elif trees:
+            tree = tree.setParams(maxIter=trees[k - 1])
+        if weights:
+            rows = rows.withColumn("weight", WEIGHTS[weights](F.col(f"y{k}")))
             tree = tree.setWeightCol("weight")
         models.append(Pipeline(stages=[_inputs(names), tree]).fit(rows))
     return Horizons(list(names), models)
 
 
-def train_seeds(df: DataFrame, names: Sequence[str], family: str, seeds: Sequence[int] = (42, 123, 777)) -> list[Horizons]:
-    return [train(df, names, family, s) for s in seeds]
+def train_seeds(df: DataFrame, names: Sequence[str], family: str, seeds: Sequence[int] = (42, 123, 777), held: str | None = None) -> list[Horizons]:
+    """Models of several seeds; with `held`, the first stops early and the others take its numbers of trees."""
+    first = train(df, names, family, seeds[0], held=held)
+    return [first, *(train(df, names, family, s, trees=first.tree_counts if held else None) for s in seeds[1:])]
+
+
+def best_counts(models: Sequence[Horizons]) -> list[int]:
+    """The rounded mean number of trees for each horizon, for a final fit on all rows."""
+    return [max(1, round(sum(m.tree_counts[k] for m in models) / len(models))) for k in range(HORIZONS)]
+
+
+# fixed values: groups of features by their names; a name may be in several
+GROUPS: dict[str, str] = {
+    "rolling": "^(?!.*(surf_pre|dp_tmp)).*roll",
+    "rolling_surf_pre": "surf_pre_roll",
+    "rolling_dp_tmp": "dp_tmp_roll",
+    "spi": "spi",
+    "lags": "_lag",
+    "drought": "deficit|trend|anomaly|drought|dry_days",
+    "weather": "^(" + "|".join(WEATHER) + ")$",
+    "seasonal": "seasonal|rsm_fw",
+    "regional_mean": "^regional_mean_score$",
+}
+
+
+def importance_by_group(importances: DataFrame, top: int = 10) -> DataFrame:
+    """part and its share of all gain, in percent: every group of names, and the `top` features together."""
+    ranked = importances.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("gain"), "feature")))  # a row for each feature
+    every = F.sum("gain")
+    share = lambda ok: F.coalesce(F.try_divide(F.sum(F.when(ok, F.col("gain"))), every) * 100, F.lit(0.0))
+    one = ranked.agg(*(share(F.regexp_like("feature", F.lit(p))).alias(g) for g, p in GROUPS.items()), share(F.col("_place") <= top).alias(f"top{top}"))
+    return one.unpivot([], one.columns, "part", "percent")
 
 
 def predict_mean(models: Sequence[Horizons], df: DataFrame) -> DataFrame:

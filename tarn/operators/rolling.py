@@ -5,6 +5,7 @@ All frames share one window specification, so a select of any number of them pla
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -71,22 +72,34 @@ def prior_means_by_prefix(df: DataFrame, column: str, widths: Sequence[int], lea
     return d.select(*df.columns, *out)
 
 
-def ewm_prior(column: str, span: int, least: int, reach: int = 366) -> Column:
-    """Exponentially weighted mean of the prior rows: weights (1 - 2 / (span + 1)) ** age over at most `reach` rows."""
+def ewm_prior(df: DataFrame, column: str, span: int, least: int, name: str) -> DataFrame:
+    """Adds the exponentially weighted mean of all prior rows: weights (1 - 2 / (span + 1)) ** age, for spans over 1.
+
+    Rows are summed in blocks in which weights fall to a millionth; three blocks back they are under 1e-17 of the newest
+    value's. So the work for a row depends on neither span nor history. Nulls keep their places; after them the mean stays.
+    """
+    if span <= 1:
+        raise ValueError("span must be over 1")
     keep = 1 - 2 / (span + 1)
-    frame = by_time().rowsBetween(-reach, -1)
-    # newest first, nulls kept in their places by a struct
-    rows = F.reverse(F.collect_list(F.struct(F.col(column).alias("x"))).over(frame))
-    zero = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.lit(1.0).alias("w"))
-
-    def step(acc: Column, row: Column) -> Column:
-        some = row["x"].isNotNull()
-        return F.struct(
-            (acc["top"] + F.when(some, acc["w"] * row["x"]).otherwise(F.lit(0.0))).alias("top"), (acc["bottom"] + F.when(some, acc["w"]).otherwise(F.lit(0.0))).alias("bottom"), (acc["w"] * keep).alias("w")
-        )
-
-    mean = F.aggregate(rows, zero, step, lambda acc: acc["top"] / acc["bottom"])
-    return F.when(F.count(column).over(frame) >= least, mean)
+    size = math.ceil(-6 * math.log(10) / math.log(keep))
+    o = by_time()
+    nth = F.row_number().over(o) - 1
+    place = F.col("_place")
+    d = df.withColumn("_nth", nth).withColumn("_block", F.floor(F.col("_nth") / size)).withColumn("_place", F.pmod("_nth", F.lit(size)).cast("double"))
+    weight = F.when(F.col(column).isNotNull(), F.pow(F.lit(keep), -place))
+    d = d.withColumns({"_w": weight, "_x": weight * F.col(column)})
+    inside = Window.partitionBy(KEY, "_block").orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(KEY).orderBy("_block")
+
+    def total(c: str) -> Column:
+        parts = [F.coalesce(F.sum(c).over(inside), F.lit(0.0)) * F.pow(F.lit(keep), place)]
+        parts += [F.coalesce(F.sum(c).over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * F.pow(F.lit(keep), place + k * size) for k in (1, 2, 3)]
+        return sum(parts[1:], parts[0])
+
+    after_value = F.lag(column).over(o).isNotNull()
+    d = d.withColumns({"_mean": F.when(after_value, total("_x") / total("_w")), "_seen": F.count(column).over(o.rowsBetween(Window.unboundedPreceding, -1))})
+    mean = F.last("_mean", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0))
+    return d.select(*df.columns, F.when(F.col("_seen") >= least, mean).alias(name))
 
 
 def dry_days(df: DataFrame, column: str = "prec", widths: Sequence[tuple[int, int]] = ((14, 3), (30, 7)), limit: float = 1.0) -> DataFrame:

@@ -19,6 +19,25 @@ def region_summary(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def region_partial(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Counts, sums and bounds of one part of a panel by region, for `merge_partials`."""
+    sums = [f(F.col(x)).alias(f"{x}_{n}") for x in ("score", *columns) for f, n in ((F.sum, "sum"), (F.count, "count"))]
+    return panel.groupBy(KEY).agg(F.count("*").alias("n_rows"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), *sums)
+
+
+def merge_partials(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """The region summary of all parts together; a region may be in any of them."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    n_rows, scored = F.sum("n_rows"), F.sum("score_count")
+    mean = lambda x: F.try_divide(F.sum(f"{x}_sum"), F.sum(f"{x}_count"))
+    return every.groupBy(KEY).agg(
+        n_rows.alias("n_rows"), scored.alias("n_scored"), (scored / n_rows).alias("score_rate"), mean("score").alias("score_mean"), F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
+        *(mean(x).alias(f"{x}_mean") for x in columns),
+    )
+
+
 def table_summary(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, labelled rows, first and last day and nulls of each column: one pass, combined before the shuffle."""
     return panel.agg(F.count("*").alias("n_rows"), F.count("score").alias("n_scored"), F.min(ORDER).alias("first_ordinal"), F.max(ORDER).alias("last_ordinal"), *((F.count("*") - F.count(c)).alias(f"{c}_nulls") for c in columns))

@@ -18,6 +18,12 @@ def last_rows(df: DataFrame, keys: Sequence, n: int = 1) -> DataFrame:
     return df.withColumn("_nth", rank).filter(F.col("_nth") <= n).drop("_nth")
 
 
+def tails(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each region's latest day with `columns`: one aggregate, combined before the shuffle."""
+    last = F.max_by(F.struct(ORDER, *columns), F.col(ORDER)).alias("_last")
+    return df.groupBy(KEY).agg(last).select(KEY, f"_last.{ORDER}", *(F.col(f"_last.`{c}`") for c in columns))
+
+
 def labelled(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("score").isNotNull())
 

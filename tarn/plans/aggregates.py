@@ -10,9 +10,10 @@ from ..operators import evaluation as ev
 from ..operators import summaries, weekly
 from ..operators.features import FeatureSet
 from ..operators.splits import last_windows
+from ..sources import files
 from ..sources.adapter import panel
 from .base import predictions, query, weekly_rows, window_rows
-from .scalars import KEY, K, agg, c
+from .scalars import KEY, K, agg, c, scratch
 
 COLS = ("prec", "tmp", "humidity", "wind")
 R = "region_id"
@@ -40,8 +41,27 @@ query("agg_climatology", f"SELECT region_id, month, {_CLIM} FROM panel GROUP BY
 query("agg_region_stats", "SELECT region_id, avg(score) AS region_mean, median(score) AS region_median, coalesce(stddev_samp(score), 0) AS region_std FROM panel GROUP BY 1", lambda s, d: clim.region_statistics(panel(s, d)), "region_mean region_median region_std")
 query("agg_region_median", "SELECT region_id, coalesce(median(score), (SELECT median(score) FROM panel)) AS median_score FROM panel GROUP BY 1", lambda s, d: clim.region_medians(panel(s, d)), "median_score")
 _SUM = "SELECT region_id, count(*) AS n_rows, count(score) AS n_scored, count(score)::DOUBLE / count(*) AS score_rate, avg(score) AS score_mean, min(year) AS year_min, max(year) AS year_max, " + ", ".join(f"avg({x}) AS {x}_mean" for x in COLS) + " FROM panel GROUP BY 1"
-for _n in ("agg_region_summary", "agg_merge_chunks", "snk_region_summary"):
-    query(_n, _SUM, lambda s, d: summaries.region_summary(panel(s, d), COLS), "score_rate score_mean " + " ".join(f"{x}_mean" for x in COLS))
+_SUM_DOUBLES = "score_rate score_mean " + " ".join(f"{x}_mean" for x in COLS)
+query("agg_region_summary", _SUM, lambda s, d: summaries.region_summary(panel(s, d), COLS), _SUM_DOUBLES)
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """Sums of three parts of the panel, taken apart and merged."""
+    p = panel(s, d)
+    return summaries.merge_partials([summaries.region_partial(p.filter(F.col("year") % 3 == k), COLS) for k in range(3)], COLS)
+
+
+query("agg_merge_chunks", _SUM, _merged, _SUM_DOUBLES)
+
+
+def _summary_file(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    found = summaries.region_summary(panel(s, d), COLS)
+    files.write_table_csv(found, path)
+    return s.read.option("header", True).schema(found.schema).csv(path)
+
+
+query("snk_region_summary", _SUM, _summary_file, _SUM_DOUBLES)
 query("agg_chunk_summary", "SELECT count(*) AS n_rows, count(score) AS n_scored, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, " + ", ".join(f"count(*) - count({x}) AS {x}_nulls" for x in (*COLS, "score")) + " FROM panel", lambda s, d: summaries.table_summary(panel(s, d), (*COLS, "score")))
 query("agg_region_score_desc", "SELECT region_id, avg(score) AS mean, stddev_samp(score) AS std, max(score) AS max, count(score) AS count FROM panel GROUP BY 1", lambda s, d: summaries.score_description(panel(s, d)), "mean std max")
 query("agg_date_minmax", "SELECT region_id, min(ordinal) AS first, max(ordinal) AS last FROM panel GROUP BY 1", lambda s, d: panel(s, d).groupBy(R).agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last")))
@@ -113,8 +133,18 @@ def _template(s: SparkSession, d: str) -> DataFrame:
 _FORECAST = lambda x: f"(SELECT region_id, {', '.join(f'max({x} * (1 + 0.1 * {k})) FILTER (horizon = {k}) AS pred_week{k}' for k in range(1, 6))} FROM preds GROUP BY 1)"
 _WEEKS = " ".join(f"pred_week{k}" for k in range(1, 6))
 _TABLE = "SELECT t.region_id, " + ", ".join(f"coalesce(least(greatest(pred_week{k}, 0), 5), 0) AS pred_week{k}" for k in range(1, 6)) + f" FROM (SELECT CAST(range AS BIGINT) AS region_id FROM range(30)) t LEFT JOIN {_FORECAST('b')} f ON t.region_id = f.region_id"
-for _n in ("join_template", "snk_submission"):
-    query(_n, _TABLE, lambda s, d: ev.forecast_table(_template(s, d), _forecast(s, d)), _WEEKS)
+query("join_template", _TABLE, lambda s, d: ev.forecast_table(_template(s, d), _forecast(s, d)), _WEEKS)
+
+
+def _submission(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts as CSV in a template's order, read back."""
+    path, template = scratch(s), _template(s, d).withColumn("place", 30 - c(R))
+    table = ev.forecast_table(template, _forecast(s, d))
+    files.write_submission(table, template, path)
+    return s.read.option("header", True).schema(table.schema).csv(path)
+
+
+query("snk_submission", _TABLE, _submission, _WEEKS)
 query("reindex", "SELECT t.region_id, coalesce(mean, 0) AS x FROM (SELECT CAST(range AS BIGINT) AS region_id FROM range(30)) t LEFT JOIN means m ON t.region_id = m.region_id", lambda s, d: _template(s, d).join(clim.means(panel(s, d), [R]), [R], "left").select(R, F.coalesce("mean_score", F.lit(0.0)).alias("x")), "x")
 query("anti_regions", "SELECT DISTINCT region_id FROM panel WHERE region_id NOT IN (SELECT region_id FROM panel GROUP BY 1 HAVING avg(score) > 0.5)", lambda s, d: (lambda p: p.select(R).distinct().join(clim.means(p, [R]).filter("mean_score > 0.5"), [R], "left_anti"))(panel(s, d)))
 query("submission_diff", f"SELECT CAST(k AS BIGINT) AS horizon, avg(abs(x - y)) AS mean_abs_diff, corr(x, y) AS corr FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest([{', '.join(f'a.pred_week{k}' for k in range(1, 6))}]) AS x, unnest([{', '.join(f'b.pred_week{k}' for k in range(1, 6))}]) AS y FROM {_FORECAST('b')} a JOIN {_FORECAST('c')} b ON a.region_id = b.region_id) GROUP BY 1", lambda s, d: ev.forecast_difference(_forecast(s, d, "b"), _forecast(s, d, "c")), "mean_abs_diff corr")

@@ -19,18 +19,18 @@ def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return w.filter("part = 'train'"), w.filter("part = 'val'")
 
 
-def _family(name: str, family: str) -> None:
+def _family(name: str, family: str, weights: str | None = None) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         fit_on, val = _parts(s, d)
-        return models.train(fit_on, NAMES, family, weighted=family == "squared").predict(val).select(R, *(f"pred_week{k}" for k in range(1, 6)))
+        return models.train(fit_on, NAMES, family, weights=weights).predict(val).select(R, *(f"pred_week{k}" for k in range(1, 6)))
 
     query(name, None, run)
 
 
-_family("gbt_lgb", "squared")
+_family("gbt_lgb", "squared", "band")
 _family("gbt_xgb", "second")
 _family("gbt_cat", "absolute")
-_family("gbt_l1", "absolute")
+_family("gbt_l1", "absolute", "linear")
 _family("extra_trees", "forest")
 
 
@@ -42,13 +42,25 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
 query("multi_seed_models", None, _seeds)
 
 
-def _counts(s: SparkSession, d: str) -> DataFrame:
-    fit_on, _ = _parts(s, d)
-    return s.createDataFrame([(k, n) for k, n in enumerate(models.train(fit_on, NAMES).tree_counts, 1)], "horizon long, trees long")
+def _stopped(s: SparkSession, d: str, seeds: tuple[int, ...]) -> list[models.Horizons]:
+    """Models that stop early by the validation part's error."""
+    rows = splits.temporal_safe(window_rows(s, d)).filter("part in ('train', 'val')").withColumn("held", F.col("part") == "val").cache()
+    found = models.train_seeds(rows, NAMES, "squared", seeds, "held")
+    rows.unpersist()
+    return found
+
+
+def _best(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(list(enumerate(models.best_counts(_stopped(s, d, (42,))), 1)), "horizon long, trees long")
+
+
+def _schedule(s: SparkSession, d: str) -> DataFrame:
+    seeds = (42, 123)
+    return s.createDataFrame([(seed, k, n) for seed, m in zip(seeds, _stopped(s, d, seeds), strict=True) for k, n in enumerate(m.tree_counts, 1)], "seed long, horizon long, trees long")
 
 
-query("best_iter", None, _counts)
-query("seed_schedule", None, _counts)
+query("best_iter", None, _best)
+query("seed_schedule", None, _schedule)
 
 
 def _chain(s: SparkSession, d: str) -> DataFrame:
@@ -76,12 +88,19 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
 query("clf_drift", None, _drift)
 
 
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    fit_on, _ = _parts(s, d)
+    return models.importance_by_group(models.train(fit_on, NAMES).importances(s), 3)
+
+
+query("importance_groups", None, _groups)
+
+
 def _importance(s: SparkSession, d: str) -> DataFrame:
     fit_on, _ = _parts(s, d)
     return summaries.cumulative_share(models.train(fit_on, NAMES).importances(s))
 
 
-query("importance_groups", None, _importance)
 query("rank_importance", None, _importance)
 query("feat_select", None, lambda s, d: s.createDataFrame([(n,) for n in models.select_features(_importance(s, d).select("feature", "gain"), 3)], "feature string"))
 
@@ -104,7 +123,7 @@ query("tune", None, _tune)
 
 def _guard(s: SparkSession, d: str) -> DataFrame:
     fit_on, val = _parts(s, d)
-    errors = [models.train(fit_on, NAMES, weighted=w).predict(val).agg(F.avg(absolute_error(F.col("pred_week1"), F.col("y1")))).first()[0] for w in (True, False)]
+    errors = [models.train(fit_on, NAMES, weights=w).predict(val).agg(F.avg(absolute_error(F.col("pred_week1"), F.col("y1")))).first()[0] for w in ("band", None)]
     return s.createDataFrame([(*errors, blending.guarded(*errors))], "mae_weighted double, mae_plain double, use_weighted boolean")
 
 

@@ -19,7 +19,7 @@ K = "region_id, ordinal"
 MINI = ("prec", "tmp", "humidity")
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """A folder for a query that writes and reads back: the session's shared one, else a temporary one."""
     import uuid
 
@@ -28,7 +28,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     days = panel(spark, sf_dir)
     text = days.select(F.concat(F.lit("R"), "region_id").alias("region_id"), cal.join_date(F.col("year"), F.col("month"), F.col("day")).alias("date"), *MINI, "score")
     text.write.option("header", True).csv(path)
@@ -48,7 +48,7 @@ query("src_csv_pyarrow", "SELECT count(*) AS n, count(prec) AS n_values, least(c
 
 
 def _parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     days = panel(spark, sf_dir)
     files.write_panel_parquet(days.filter("year < 1998"), path, append=True)
     files.write_panel_parquet(days.filter("year >= 1998"), path, append=True)
@@ -61,31 +61,48 @@ query("src_columns", f"SELECT {K}, prec FROM panel", lambda s, d: panel(s, d).se
 query("src_parquet_meta", "SELECT count(*) AS n FROM lineitem", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").agg(F.count("*").alias("n")))
 
 
+_CODED = ", dense_rank() OVER (ORDER BY region_id) - 1 AS region_code"
+
+
 def _npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes and names as an archive holds them, then decoded again."""
-    coded = files.encode_regions(panel(spark, sf_dir))
-    names = coded.select("region_code", F.concat(F.lit("R"), "region_id").alias("name")).distinct()
-    return coded.join(names, ["region_code"]).select("name", "region_code", "ordinal", "prec")
+    """Archives written, read back and coded again."""
+    path = scratch(spark)
+    days = panel(spark, sf_dir).withColumn("region_id", F.concat(F.lit("R"), "region_id"))
+    files.write_panel_npz(days, path, ["prec"], rows=500)
+    found = files.read_panel_npz(spark, path, ["prec"]).withColumn("region_id", F.substring("region_id", 2, 20).cast("long"))
+    return files.encode_regions(found).select(F.concat(F.lit("R"), "region_id").alias("name"), "region_code", "ordinal", "prec")
+
+
+query("src_npz", f"SELECT 'R' || region_id AS name{_CODED}, ordinal, prec FROM panel", _npz_round_trip, "prec")
+
+
+def _npz_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    files.write_panel_npz(panel(spark, sf_dir), path, ["wind", "score"])
+    return files.read_panel_npz(spark, path, ["wind", "score"]).withColumn("region_id", F.col("region_id").cast("long")).select("region_id", "year", "month", "day", "wind", "score")
 
 
-query("src_npz", "SELECT 'R' || region_id AS name, dense_rank() OVER (ORDER BY region_id) - 1 AS region_code, ordinal, prec FROM panel", _npz_round_trip, "prec")
+query("snk_npz", "SELECT region_id, year, month, day, wind, score FROM panel", _npz_archives, "wind score")
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
-    files.write_encoded(panel(spark, sf_dir), path)
-    return files.read_panel_parquet(spark, path, ["region_id", "region_code", "year", "month", "day", "wind"])
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint replaced by a whole one."""
+    path = scratch(spark)
+    coded = files.encode_regions(panel(spark, sf_dir)).select("region_id", "region_code", "year", "month", "day", "wind")
+    files.write_atomic(coded.limit(1), path)
+    files.write_atomic(coded, path)
+    return files.read_panel_parquet(spark, path)
 
 
-for _n in ("snk_npz", "ckpt_atomic"):
-    query(_n, "SELECT region_id, dense_rank() OVER (ORDER BY region_id) - 1 AS region_code, year, month, day, wind FROM panel", _encoded, "wind")
+query("ckpt_atomic", f"SELECT region_id{_CODED}, year, month, day, wind FROM panel", _replaced, "wind")
 
 
 def _template_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A submission template of zeros, written and read back."""
-    path = _scratch(spark)
-    panel(spark, sf_dir).select("region_id").distinct().select("region_id", *(F.lit(0.0).alias(f"pred_week{k}") for k in range(1, 6))).write.parquet(path)
-    return spark.read.parquet(path)
+    """A submission template of zeros as an archive, read back."""
+    path = scratch(spark)
+    zeros = panel(spark, sf_dir).select("region_id").distinct().select("region_id", *(F.lit(0.0).alias(w) for w in _WEEKS))
+    files.write_panel_npz(zeros, path, _WEEKS)
+    return files.read_regions_npz(spark, path, _WEEKS).withColumn("region_id", F.col("region_id").cast("long"))
 
 
 _WEEKS = [f"pred_week{k}" for k in range(1, 6)]
@@ -93,7 +110,7 @@ query("snk_sub_npz", f"SELECT DISTINCT region_id, {', '.join(f'0.0::DOUBLE AS {w
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _scratch(spark)
+    root = scratch(spark)
     days = panel(spark, sf_dir).select(*KEY, "prec")
     days.filter("year < 1998").write.parquet(f"{root}/a")
     days.filter("year >= 1998").write.parquet(f"{root}/b/c")
@@ -103,7 +120,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("src_find", f"SELECT {K}, prec FROM panel", _found, "prec")
 query("fx_small", f"SELECT {K}, prec FROM panel WHERE region_id IN (SELECT DISTINCT region_id FROM panel ORDER BY 1 LIMIT 3)", lambda s, d: summaries.first_regions(panel(s, d), 3).select(*KEY, "prec"), "prec")
 query("fx_synth", None, lambda s, d: files.synthetic_panel(s, 2, 100))
-query("ckpt", None, lambda s, d: files.load_or_compute(s, _scratch(s), ["prec"], lambda: panel(s, d).select(*KEY, "prec")))
+query("ckpt", None, lambda s, d: files.load_or_compute(s, scratch(s), ["prec"], lambda: panel(s, d).select(*KEY, "prec")))
 
 # dates
 _DATE = "printf('%04d-%02d-%02d', year, month, day)"

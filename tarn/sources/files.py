@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,7 @@ def write_panel_parquet(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").parquet(path)
 
 
-def _npz_rows(measures: Sequence[str]):
+def _npz_rows(measures: Sequence[str], dates: Sequence[str] = ("year", "month", "day")):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
 
@@ -56,23 +57,88 @@ def _npz_rows(measures: Sequence[str]):
                 with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as d:
                     code, n = d["region_id"], len(d["region_id"])
                     names = d["region_names"].astype(str)
-                    cols = {c: d[c] for c in ("year", "month", "day")} | {c: d[c] if c in d else np.full(n, np.nan) for c in measures}
+                    cols = {c: d[c] for c in dates} | {c: d[c] if c in d else np.full(n, np.nan) for c in measures}
                 for i in range(0, n, 65536):
                     part = {"region_id": pa.array(names[code[i : i + 65536]].tolist(), pa.string())}
-                    part |= {c: pa.array(cols[c][i : i + 65536].astype(np.int32)) for c in ("year", "month", "day")}
+                    part |= {c: pa.array(cols[c][i : i + 65536].astype(np.int32)) for c in dates}
                     part |= {c: pa.array(cols[c][i : i + 65536].astype(float), from_pandas=True) for c in measures}
                     yield pa.RecordBatch.from_pydict(part)
 
     return read
 
 
+def _npz_writer(folder: str, measures: Sequence[str], dates: Sequence[str], rows: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        from pyspark import TaskContext
+
+        files, root = fs.FileSystem.from_uri(folder)
+        part = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def save() -> pa.RecordBatch:
+            nonlocal count
+            whole = pa.Table.from_batches(held)
+            names, code = np.unique(whole["region_id"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            content = io.BytesIO()
+            columns = {c: whole[c].to_numpy().astype(np.int32) for c in dates} | {c: whole[c].to_numpy(zero_copy_only=False).astype(float) for c in measures}
+            np.savez_compressed(content, region_id=code.astype(np.int32), region_names=names, **columns)
+            name = f"part-{part:05d}-{count:05d}.npz"
+            count += 1
+            # a half-written archive has another name; a task that runs again puts equal rows in its place
+            hidden = f"{root}/_{name}.{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(hidden) as out:
+                out.write(content.getbuffer())
+            files.move(hidden, f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"archive": [name], "rows": pa.array([len(code)], pa.int64())})
+
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                if n and n + piece.num_rows > rows:
+                    yield save()
+                    held.clear()
+                    n = 0
+                held.append(piece)
+                n += piece.num_rows
+        if n:
+            yield save()
+
+    return write
+
+
+def write_panel_npz(df: DataFrame, path: str, measures: Sequence[str], rows: int = 1_000_000) -> int:
+    """Write a panel, or a table of regions without dates, as compressed archives of at most `rows` rows; gives their number.
+
+    `path` is a URI or an absolute folder that all executors share. Archives hold whole regions' rows in the order of days,
+    as far as `rows` allows, with a dictionary of region names each; each appears under its name once it is complete.
+    """
+    dates = [c for c in ("year", "month", "day") if c in df.columns]
+    picked = df.select(F.col("region_id").cast("string").alias("region_id"), *dates, *(F.col(c).cast("double").alias(c) for c in measures))
+    sort = ["region_id", *dates, *measures]
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    make, root = fs.FileSystem.from_uri(uri)
+    make.create_dir(root, recursive=True)
+    done = picked.repartition("region_id").sortWithinPartitions(*sort).mapInArrow(_npz_writer(uri, measures, dates, rows), "archive string, rows long")
+    return done.agg(F.coalesce(F.count("*"), F.lit(0))).first()[0]
+
+
+def read_regions_npz(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
+    """Archives of regions without dates, as submission templates are."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
+    return files.mapInArrow(_npz_rows(measures, ()), "region_id string, " + ", ".join(f"{c} double" for c in measures))
+
+
 def read_panel_npz(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
     """Archives of columns with region codes and names, one task an archive; NaN becomes null.
 
     Names must be stored as fixed-width text: archives of pickled objects are refused.
     """
     schema = "region_id string, year int, month int, day int, " + ", ".join(f"{c} double" for c in measures)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
     rows = files.mapInArrow(_npz_rows(measures), schema)
     return rows.withColumn("ordinal", ordinal(F.col("year"), F.col("month"), F.col("day")))
 
@@ -97,8 +163,29 @@ def write_encoded(df: DataFrame, path: str) -> None:
     coded.select(*narrow).write.mode("errorifexists").parquet(path)
 
 
-def write_submission(forecasts: DataFrame, path: str) -> None:
-    forecasts.write.mode("overwrite").option("header", True).csv(path)
+def write_submission(forecasts: DataFrame, template: DataFrame, path: str) -> None:
+    """CSV parts that follow each other in the template's order (its column `place`)."""
+    placed = forecasts.join(template.select("region_id", "place"), ["region_id"])
+    placed.orderBy("place").drop("place").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_table_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Parquet that appears under `path` whole or not at all: written beside it, then renamed; what was there is replaced."""
+    import uuid
+
+    spark = df.sparkSession
+    hidden = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(hidden)
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (hidden, path))
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(new, True)
+    if not files.rename(old, new):
+        raise OSError(f"{hidden} could not be renamed to {path}")
 
 
 def load_or_compute(spark: SparkSession, root: str, names: Sequence[str], compute) -> DataFrame:

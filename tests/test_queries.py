@@ -31,7 +31,7 @@ def test_matches_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["gbt_lgb", "chain", "clf_hurdle", "importance_groups", "weights_guard", "ckpt", "fx_synth", "clf_drift"])
+@pytest.mark.parametrize("name", ["gbt_lgb", "chain", "clf_hurdle", "importance_groups", "best_iter", "seed_schedule", "gbt_l1", "weights_guard", "ckpt", "fx_synth", "clf_drift"])
 def test_models_run(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import calendar as cal
 from tarn.functions import measures as ms
-from tarn.operators import blending, features, rolling, sequences, splits, summaries, weekly
+from tarn.operators import blending, features, models, rolling, sequences, splits, summaries, weekly
 from tarn.sources import files
 
 
@@ -57,8 +57,17 @@ def test_rolling_like_pandas(spark, values):
     for stat, want in (("mean", r.mean()), ("max", r.max()), ("median", r.median())):
         got = column(df.select("*", rolling.prior("prec", stat, 7, 3).alias("x")), "x")
         np.testing.assert_allclose([np.nan if g is None else g for g in got], want, atol=1e-9)
-    got = column(df.select("*", rolling.ewm_prior("prec", 14, 3).alias("x")), "x")
-    np.testing.assert_allclose([np.nan if g is None else g for g in got], x.ewm(span=14, min_periods=3).mean(), atol=1e-9)
+    got = column(rolling.ewm_prior(df, "prec", 2, 3, "x"), "x")
+    np.testing.assert_allclose([np.nan if g is None else g for g in got], x.ewm(span=2, min_periods=3).mean(), atol=1e-9)
+
+
+def test_wide_and_long_means_like_pandas(spark):
+    rng = np.random.default_rng(1)
+    values = [None if 300 <= i < 900 or rng.random() < 0.1 else float(rng.normal(1000, 300)) for i in range(1499)]
+    x = pd.Series([np.nan if v is None else v for v in values]).shift(1)
+    for span in (14, 365):
+        got = column(rolling.ewm_prior(series(spark, values), "prec", span, 3, "x"), "x")
+        np.testing.assert_allclose([np.nan if g is None else g for g in got], x.ewm(span=span, min_periods=3).mean(), rtol=1e-9)
 
 
 def test_first_row_counts_as_not_dry(spark):
@@ -153,3 +162,32 @@ def test_npz_and_csv(spark, tmp_path):
     assert got == [("R1", 58061, 1.5, None), ("R2", 3004, None, None)]
     with pytest.raises(ValueError, match="region_id"):
         files.read_panel_csv(spark, str(tmp_path / "u.csv") if (tmp_path / "u.csv").write_text("a,date\n1,2\n") else "", ["prec"])
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [("R2", 3004, 1, 3, None), ("R1", 3004, 1, 3, 2.5), ("R1", 3004, 1, 2, 1.0), ("Ré", 3004, 1, 2, 7.0)]
+    df = spark.createDataFrame(rows, "region_id string, year int, month int, day int, prec double")
+    assert files.write_panel_npz(df, str(tmp_path / "a"), ["prec"], rows=1) == 4
+    got = [tuple(r)[:5] for r in files.read_panel_npz(spark, str(tmp_path / "a"), ["prec"]).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    assert not [f for f in (tmp_path / "a").iterdir() if not f.name.endswith(".npz")]
+    assert files.write_panel_npz(df.limit(0), str(tmp_path / "b"), ["prec"]) == 0
+
+
+def test_submission_keeps_the_template_order(spark, tmp_path):
+    template = spark.createDataFrame([("c", 1), ("a", 2), ("b", 3)], "region_id string, place int")
+    files.write_submission(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "region_id string, pred_week1 double"), template, str(tmp_path / "s"))
+    lines = [x for f in sorted((tmp_path / "s").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("region_id")]
+    assert lines == ["c,3.0", "a,1.0", "b,2.0"]
+
+
+def test_boosting_stops_early_and_groups_of_names(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), *(float(rng.normal()) if i % 4 == 0 else float(a > 0) for _ in range(5)), i % 4 == 0) for i, a in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "prec double, y1 double, y2 double, y3 double, y4 double, y5 double, held boolean")
+    first, second = models.train_seeds(df, ["prec"], "squared", (1, 2), "held")
+    assert max(first.tree_counts) < models.MAX_TREES  # held rows follow no feature, so more trees don't help
+    assert second.tree_counts == first.tree_counts == models.best_counts([first, second])
+    gains = spark.createDataFrame([("prec", 1.0), ("prec_lag1", 2.0), ("dp_tmp_roll7_mean", 3.0), ("prec_roll7_mean", 4.0)], "feature string, gain double")
+    got = {r.part: r.percent for r in models.importance_by_group(gains, 2).collect()}
+    assert [got[k] for k in ("weather", "lags", "rolling_dp_tmp", "rolling", "spi", "top2")] == pytest.approx([10, 20, 30, 40, 0, 70])
