@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir
+from .shared import cut, files_at, shared_dir
 
 ROW = 192
 #: A shard that has grown beyond so many bytes is closed.
@@ -90,8 +89,9 @@ def feature(samples: bytes) -> str:
     deviation = float(share @ (level - mean) ** 2) ** 0.5
     some = share[share > 0]
     image = x.reshape(-1, ROW)
-    rows = np.linspace(0, len(image), 9).astype(int)
-    sums = np.add.reduceat(image[np.minimum(rows[:-1], len(image) - 1)].astype(np.int64), np.arange(0, ROW, ROW // 8), axis=1)
+    image = np.repeat(image, -(-8 // len(image)), axis=0)
+    bands = np.add.reduceat(image, np.linspace(0, len(image), 9).astype(int)[:-1], axis=0, dtype=np.int64)  # every sample counts
+    sums = np.add.reduceat(bands, np.arange(0, ROW, ROW // 8), axis=1)
     bits = (np.roll(sums, -1, axis=1) > sums).ravel()
     return f"mean={mean:.4f};std={deviation:.4f};entropy={float(-(some * np.log2(some)).sum()):.4f};hash={int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
 
@@ -100,7 +100,7 @@ class ShardWriter:
     """Tar shards of one task."""
 
     def __init__(self, folder: str):
-        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.files, self.root = files_at(folder)
         self.files.create_dir(self.root, recursive=True)
         task = TaskContext.get()
         self.name = f"{task.partitionId():06d}-{task.taskAttemptId()}" if task else "0"
@@ -152,42 +152,46 @@ def _writer(folder: str):
     return write
 
 
-def _reader(folder: str):
+class ShardReader:
+    """Range reads of one task; the last shard stays open."""
+
+    def __init__(self, folder: str):
+        self.files, self.root = files_at(folder)
+        self.name = None
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.name:
+            self.name, self.opened = shard, self.files.open_input_file(f"{self.root}/{shard}")
+        self.opened.seek(offset)
+        return self.opened.read(length)
+
+
+def _headers(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
-        opened, name = None, None
+        shards = ShardReader(folder)
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["shard"] != name:
-                    name = r["shard"]
-                    opened = files.open_input_file(f"{root}/{name}")
-                opened.seek(r["offset"])
-                width, height = png_header(opened.read(HEADER_BYTES))
-                opened.seek(r["offset"])
-                image = opened.read(r["length"])
-                samples = from_png(image)
-                rows.append(
-                    r
-                    | {"width": width, "height": height, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest()}
-                    | {"tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(), "feature": feature(samples)}
-                )
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+            heads = [png_header(shards.read(r["shard"], r["offset"], HEADER_BYTES)) for r in batch.select(["shard", "offset"]).to_pylist()]
+            sizes = {name: pa.array([h[i] for h in heads], pa.int64()) for i, name in enumerate(("width", "height"))}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | sizes)
 
     return read
 
 
-def _headers(folder: str):
+def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
+        shards = ShardReader(folder)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                with files.open_input_file(f"{root}/{r['shard']}") as f:
-                    f.seek(r["offset"])
-                    width, height = png_header(f.read(HEADER_BYTES))
-                rows.append(r | {"width": width, "height": height})
+                image = shards.read(r["shard"], r["offset"], r["length"])
+                samples = from_png(image)
+                if len(samples) != r["width"] * r["height"]:
+                    raise ValueError("a stored payload is not as long as its header says")
+                rows.append(
+                    r
+                    | {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest()}
+                    | {"tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(), "feature": feature(samples)}
+                )
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
@@ -202,15 +206,15 @@ def write_media(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame,
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:
-    """digest, shard, offset, length, width and height of each stored payload, by header-only range reads."""
+    """digest, shard, offset, length, width and height of each stored payload, by header-only range reads in the shards' order."""
     refs = index.select("digest", "shard", "offset", "length").distinct()
-    return refs.mapInArrow(_headers(folder), "digest string, shard string, offset long, length long, width long, height long")
+    dealt = refs.repartition("shard", (F.col("offset") / (8 << 20)).cast("long")).sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(_headers(folder), "digest string, shard string, offset long, length long, width long, height long")
 
 
 def read_media(index: DataFrame, folder: str) -> DataFrame:
-    """Metadata, digests and features of each stored payload, read back from the shards."""
-    refs = index.select("digest", "shard", "offset", "length").distinct()
-    return refs.repartition("shard", (F.col("offset") / (8 << 20)).cast("long")).sortWithinPartitions("shard", "offset").mapInArrow(_reader(folder), READ)
+    """Metadata by header-only reads, then digests and features of each stored payload, read back from the shards."""
+    return read_headers(index, folder).mapInArrow(_reader(folder), READ)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
+def files_at(uri: str) -> tuple[fs.FileSystem, str]:
+    """A file system and path for a URI as Spark writes them: S3's connectors have schemes of their own there."""
+    for scheme in ("s3a://", "s3n://"):
+        uri = uri.replace(scheme, "s3://", 1) if uri.startswith(scheme) else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def folded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """`docs` with all columns but `needed` folded into one, so no name clashes with an operator's own, and the way to each."""
+    others = [c for c in docs.columns if c not in needed]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("__rest")] if others else []
+    return docs.select(*(c for c in docs.columns if c in needed), *rest), lambda c: F.col("__rest").getField(c).alias(c) if c in others else F.col(c)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder once and go on from the files."""
     _checkpoint_dir(df.sparkSession)

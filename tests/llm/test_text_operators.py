@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, chat_format, media, mixing, token_counts
+from tarn.llm.shared import files_at
 from tarn.llm.queries import QUERIES
 
 tok = pytest.importorskip("public_tokenizers")
@@ -80,6 +81,26 @@ def test_media_round_trip(spark):
     assert media.media_columns(table(spark, [])).count() == 0
 
 
+def test_feature_follows_every_sample():
+    plain = b" " * 192 * 64
+    for row in range(64):
+        other = bytearray(plain)
+        other[192 * row : 192 * row + 24] = b"z" * 24
+        assert media.feature(bytes(other)).split("hash=")[1] != media.feature(plain).split("hash=")[1]
+    assert media.feature(plain[:192]).split("hash=")[1] == "0" * 16
+
+
+def test_folders_by_the_names_of_cluster_connectors(tmp_path):
+    for scheme in ("s3a", "s3n", "s3"):
+        files, path = files_at(f"{scheme}://key:secret@bucket/folder?region=us-east-1&endpoint_override=localhost")
+        assert files.type_name == "s3" and path == "bucket/folder"
+    assert files_at(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
+def test_counts_of_an_empty_table(spark):
+    assert token_counts.count_tokens(table(spark, []), tok.path("piece_bpe_32k.model")).count() == 0
+
+
 def test_shards_are_tar_files(spark, tmp_path):
     import tarfile
 
