@@ -307,7 +307,7 @@ def there_and_back(text: Column, path: str, pattern: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", to: str = "ids") -> DataFrame:
-    """`docs` with the ids of `column` in `to`."""
+    """`docs` with the ids of `column` in `to`, which replaces a column of that name."""
     return docs.withColumn(to, token_ids(F.coalesce(F.col(column), F.lit("")), path, pattern))
 
 
@@ -319,7 +319,7 @@ def decode(docs: DataFrame, path: str, column: str = "ids", to: str = "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
-    """`docs` with ids and decoded."""
+    """`docs` with ids and decoded, which replace columns of these names."""
     made = there_and_back(F.coalesce(F.col(column), F.lit("")), path, pattern)
     others = [c for c in docs.columns if c not in ("ids", "decoded")]
     return docs.withColumn("__made", made).select(*others, "__made.ids", "__made.decoded")

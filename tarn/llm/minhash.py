@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import cut, joined, table
+from .shared import cut, folded, joined, table
 from .words import BASE, SPACED, U, give_back, mix, occurrences, passes, shingles, words
 
 K, THRESHOLD = 5, 0.8
@@ -364,9 +364,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = joined(placed, kept, "class", "members").groupBy("doc_id", "node").agg(F.max((F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node"))).cast("int")).alias("__stays"), F.count("*").alias("rows"))
     gone = cut(gone).select(F.col("doc_id").alias("__g_id"), F.col("node").alias("__g_node"), "__stays", F.col("rows").alias("__g_rows"))
     node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    found = docs.withColumn("__node", node).join(gone, (F.col("__node") == F.col("__g_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__g_id")), "left")
-    single = found.filter("__stays is null or (__stays = 1 and __g_rows = 1)").select(*docs.columns)
+    slim, column = folded(docs, "doc_id", "text")
+    kept_columns = [column(c) for c in docs.columns]
+    found = slim.withColumn("__node", node).join(gone, (F.col("__node") == F.col("__g_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__g_id")), "left")
+    single = found.filter("__stays is null or (__stays = 1 and __g_rows = 1)").select(*kept_columns)
     if gone.filter("__stays = 1 and __g_rows > 1").isEmpty():
         return single
-    repeated = found.filter("__stays = 1 and __g_rows > 1").dropDuplicates(["__node"]).select(*docs.columns)
+    repeated = found.filter("__stays = 1 and __g_rows > 1").dropDuplicates(["__node"]).select(*kept_columns)
     return single.union(repeated)

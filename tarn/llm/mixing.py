@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, folded
 
 #: Hex digits of the shuffle key that make a bucket, and ranges of the virtual clock per unit of time.
 DIGITS, TICKS = 3, 4096
@@ -144,10 +144,11 @@ def mixed_sizes(mix: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of `docs` that the mix takes, as often as it takes them."""
+    """The rows of `docs` that the mix takes, as often as it takes them, with all their columns whatever their names."""
     c = mix.cuts.select(F.col("source").alias("__of"), *(F.col(f"cut{r}").alias(f"__cut{r}") for r in range(ROUNDS)))
-    keyed = docs.withColumn("__key", shuffle_key(F.col("doc_id"), F.col("text"), mix.seed))
+    slim, column = folded(docs, "doc_id", "source", "text")
+    keyed = slim.withColumn("__key", shuffle_key(F.col("doc_id"), F.col("text"), mix.seed))
     found = with_source(keyed, c, "__key")
     size = F.when(F.regexp_like(F.col("text"), F.lit(WORDS)), F.lit(1)).otherwise(F.lit(0))
     times = F.explode(F.sequence(F.lit(1), _copies(size, F.col("__key")).cast("int")))
-    return found.filter(_copies(size, F.col("__key")) > 0).withColumn("__copy", times).select(*docs.columns)
+    return found.filter(_copies(size, F.col("__key")) > 0).withColumn("__copy", times).select(*map(column, docs.columns))

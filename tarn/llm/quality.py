@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import folded
 from .words import SPACED, U, passes, words
 
 #: Word buckets; shapes have buckets of their own behind them.
@@ -113,12 +114,14 @@ def fit(rows: list, steps: int = STEPS, rate: float = 0.3, decay: float = 1e-6)
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", sample: int = SAMPLE) -> Ordinal:
-    """Fit on at most `sample` labelled documents, chosen by a hash of their id."""
+    """Fit on at most `sample` labelled documents, chosen by a hash of their id; rows that repeat an id count once for each text."""
     rated = labels.filter(F.col(rating).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(rating).cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), "doc_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", F.coalesce("text", F.lit("")).alias("text"))
-    # rows that repeat an id may exceed the bound, so it is set again
-    rows = found.mapInArrow(_features, "grade int, at array<int>, value array<float>").limit(2 * sample).collect()
+    order = F.xxhash64(F.col("doc_id"), F.lit(8))
+    chosen = rated.orderBy(order, "doc_id").limit(sample)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("which", F.xxhash64("text"))
+    # rows that repeat an id may exceed the bound, so it is set again, in the same order
+    texts = found.dropDuplicates(["doc_id", "which"]).orderBy(order, "doc_id", "which").limit(sample).select("grade", "text")
+    rows = texts.mapInArrow(_features, "grade int, at array<int>, value array<float>").collect()
     rows.sort(key=lambda r: (r["grade"], len(r["at"]), r["at"], r["value"]))
     return fit(rows)
 
@@ -138,16 +141,22 @@ def linear_score(text: Column, model: Ordinal) -> Column:
 
 
 def rate(docs: DataFrame, model: Ordinal, wanted: int | None = None, least: float = 0.5) -> DataFrame:
-    """`docs` with expected_grade, tail_prob = P(grade >= wanted) and keep = tail_prob >= least."""
+    """`docs` with expected_grade, tail_prob = P(grade >= wanted) and keep = tail_prob >= least.
+
+    Columns of `docs` with these names are replaced; any others stay as they are. Null texts count as empty ones.
+    """
     wanted = model.grades[-1] if wanted is None else wanted
     if not len(model.thresholds):
         sure = float(model.grades[0] >= wanted)
         return docs.withColumn("expected_grade", F.lit(float(model.grades[0]))).withColumn("tail_prob", F.lit(sure)).withColumn("keep", F.lit(sure >= least))
-    out = docs.withColumn("__score", linear_score(F.coalesce(F.col("text"), F.lit("")), model))
+    slim, rest = folded(docs, "text")
+    out = slim.withColumn("__score", linear_score(F.coalesce(F.col("text"), F.lit("")), model))
     tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("__score"))) for t in model.thresholds]
     expected = F.lit(float(model.grades[0]))
     for low, high, tail in zip(model.grades, model.grades[1:], tails):
         expected = expected + F.lit(float(high - low)) * tail
     above = [tail for grade, tail in zip(model.grades[1:], tails) if grade >= wanted]
     tail = F.lit(1.0) if wanted <= model.grades[0] else above[0] if above else F.lit(0.0)
-    return out.withColumn("expected_grade", expected).withColumn("tail_prob", tail).drop("__score").withColumn("keep", F.col("tail_prob") >= least)
+    made = {"expected_grade": expected, "tail_prob": tail, "keep": tail >= least}
+    others = [c for c in docs.columns if c not in made]
+    return out.select(*(rest(c) for c in others), *(v.alias(k) for k, v in made.items()))

@@ -3,7 +3,7 @@
 The pieces of `piece_bpe_32k.model` never hold a space mark after another character, so no merge crosses from a
 character to a following space: a text falls into pre-tokens (a run of spaces and what follows it) that are
 encoded apart without changing the sum. Each block of documents counts pieces once per distinct pre-token, joins
-those counts to the per-document frequencies and sums; ids are never made.
+those counts to the per-document frequencies and sums; no document's ids are made, those of a new pre-token only while it is counted.
 
 Defined results: null and empty texts have 0 tokens; rows are independent, so repeated rows repeat their result and
 other columns are not touched; an empty table gives an empty table.

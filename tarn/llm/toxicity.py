@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
 
 
 def score_texts(docs: DataFrame, model: Params | float, to: str = "score") -> DataFrame:
-    """`docs` with the score of `text` in `to`."""
+    """`docs` with the score of `text` in `to`, which replaces a column of that name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     if isinstance(model, float):
         return docs.withColumn(to, F.when(F.regexp_like(text, F.lit(r"[\p{L}\p{N}]")), F.lit(model)).otherwise(F.lit(0.0)))

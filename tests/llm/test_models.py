@@ -139,6 +139,43 @@ def test_pipeline_stages(spark):
     assert all(r.n_tokens == len(r.ids) for r in seen["encoding"])
 
 
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    """Null, empty, repeated and very long rows, names that operators use themselves, and tables without rows."""
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    own = text(60, 0)
+    long = " ".join(f"{w}{i}" for i in range(40) for w in WORDS)
+    rows = [(1, own), (1, own), (2, own), (None, own), (3, None), (3, None), (4, ""), (5, "  "), (6, long), (7, text(40, 0) + " " + long), (None, None)]
+    names = ["__toxicity", "__key", "__of", "__node", "__stays", "__cut0", "__copy", "ids", "score", "row", "a.b"]
+    made = [(i, t, "s" if k % 2 else None, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(made, schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, str(tmp_path))
+        if name != "encoding":
+            assert done.schema.names == docs.schema.names
+        docs = spark.createDataFrame(kept.setdefault(name, done.collect()), done.schema)
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).collect() == []
+    assert sorted(r["a.b"] for r in kept["toxicity"]) == sorted(f"a.b{k}" for k in range(len(rows)))
+    assert sorted((r.doc_id for r in kept["near_dedup"] if (r.text or "").strip())) == [1, 6]  # 7 is 6 with a few words more
+    assert sum(not (r.text or "").strip() for r in kept["near_dedup"]) == 5
+    assert len(kept["substring_dedup"]) == len(kept["near_dedup"])
+    assert {r.doc_id for r in kept["mixing"]} <= {1, 6}
+    assert len(kept["encoding"]) == len(kept["mixing"])
+
+
+def test_quality_of_repeated_rows_and_clashing_names(spark):
+    good, bad = (" ".join(w for w in WORDS[k::2][:30]) for k in (0, 1))
+    rows = [(i, good if i % 2 else bad, "x", "y") for i in range(20)] * 3 + [(50, None, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep string, `__score` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample=10)
+    assert np.array_equal(model.weights, quality.train(docs.repartition(7), labels, sample=10).weights)
+    got = quality.rate(docs, model).collect()
+    assert len(got) == len(rows) and all(r.keep == (r.doc_id % 2 == 1) and r["__score"] == "y" for r in got if r.doc_id < 50)
+    assert quality.rate(docs.limit(0), model).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op3_toxicity", "op5_bpe", "op6_media", "op8_quality", "op9_token_counts"])
 def test_queries_have_a_row_for_each_document(spark, name):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
