@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, media, minhash, mixing, quality, substring, token_counts, toxicity
+from . import ann, bpe, chat_format, media, minhash, mixing, periodic, quality, substring, token_counts, toxicity, turn_repair, url_filter
 from .shared import read
 
 
@@ -82,8 +82,38 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+#: Host, path and verdict of the rules that op11 judges by.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.build_rules(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return url_filter.judge(read(spark, sf_dir, "pages"), rules)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """`docs` with a period put into the words of every tenth document, by its id's checksum; a null id counts as no digits."""
+    checksum = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut_at = docs.select("doc_id", "text", checksum.alias("h")).withColumn("words", F.when((F.col("h") % 10 == 0), words))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    period = F.slice("words", a + 1, p)
+    turned = F.concat(F.slice("words", F.lit(1), a), F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a))
+    return cut_at.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(with_periods(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_mixing, op3_toxicity, op4_nearest, op5_bpe, op6_media, op7_near_duplicates, op8_quality, op9_token_counts, op10_repeated_passages)
+    f.__name__: f for f in (op1_chat_format, op2_mixing, op3_toxicity, op4_nearest, op5_bpe, op6_media, op7_near_duplicates, op8_quality, op9_token_counts, op10_repeated_passages, op11_url_filter, op12_turn_repair, op13_periodic_runs)
 }
 
 _ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
@@ -138,4 +168,70 @@ SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, t.source_size, t.target,
        CAST(s.size * (coalesce(CAST(s.key <= c.cut0 AS INT), 0) + coalesce(CAST(s.key <= c.cut1 AS INT), 0)) AS BIGINT) AS taken
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source""",
+    "op11_url_filter": r"""
+WITH rules(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rest AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT page_id, r, coalesce(translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM rest),
+fits AS (
+  SELECT p.page_id, p.r, p.host, p.path, u.host || u.path AS rule, u.verdict,
+         row_number() OVER (PARTITION BY p.r ORDER BY length(u.host || u.path) DESC, length(u.host) DESC) AS nth
+  FROM parts p LEFT JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1""",
+    "op12_turn_repair": r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc
+  FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+hashed AS (
+  SELECT n.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+                              lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM named n, tab),
+copies AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE harm <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM copies),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+  FROM ordered),
+rows AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN seen = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+step(state, initial, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+first AS (SELECT conv_id, 1 AS i, 0 AS state, 0 AS cost, '' AS audit, '' AS out FROM (SELECT DISTINCT conv_id FROM conversations)),
+walk AS (
+  FROM first UNION ALL
+  SELECT conv_id, i, state, cost, audit, out FROM (
+    SELECT conv_id, i, state, cost, audit, out, row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) AS best FROM (
+      SELECT w.conv_id, w.i + 1 AS i, w.state, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.out
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+      UNION ALL
+      SELECT p.conv_id, p.i + 1, s.next, p.cost + CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN e.edit = 'K' THEN 0 ELSE 3 END, p.audit || e.edit,
+             p.out || chr(10) || CASE WHEN e.edit = 'K' THEN r.role WHEN s.initial = 'u' THEN 'user' ELSE 'assistant' END || ':' || r.text
+      FROM (SELECT conv_id, i, state, cost, audit, out FROM walk
+            UNION ALL SELECT w.conv_id, w.i, s.next, w.cost + 3, w.audit || 'I', w.out || chr(10) || CASE s.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+            FROM walk w JOIN step s ON s.state = w.state AND s.initial <> 's') p
+      JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i AND r.fault NOT IN ('blank', 'duplicate')
+      JOIN step s ON s.state = p.state JOIN (VALUES ('K'), ('R')) AS e(edit) ON CASE WHEN e.edit = 'K' THEN s.initial = r.initial ELSE s.initial <> 's' END))
+  WHERE best = 1),
+ended AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total, edits) AS best FROM (
+    SELECT w.*, w.cost + CASE w.state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS total, w.audit || CASE w.state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS edits,
+           substr(w.out || CASE w.state WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END, 2) AS repaired
+    FROM walk w LEFT JOIN (SELECT conv_id, max(i) AS n FROM rows GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(n.n, 0) + 1)),
+pairs AS (SELECT conv_id, turn, fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS wrong FROM rows),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM pairs GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, CAST(e.total AS BIGINT) AS cost, e.edits AS audit, sha256(e.repaired) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.best = 1""",
 }
