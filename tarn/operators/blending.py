@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import clip_score
 from .evaluation import absolute_error
+from .quantiles import quantiles
 
 Weights = tuple[float, ...]
 
+# fixed values: the published steps of the four-model grid
+FOUR_A = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
+FOUR_B = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
+FOUR_C = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
+
 
 def grid(models: int) -> list[Weights]:
-    """Steps of 0.05; the last weight is the rest, 0.05 at least."""
+    """Steps of 0.05 (fixed values); the last weight is the rest, 0.05 at least."""
     steps = [round(x * 0.05, 2) for x in range(1, 20)]
     if models == 2:
         return [(a, round(1 - a, 8)) for a in steps]
@@ -26,8 +32,8 @@ def grid(models: int) -> list[Weights]:
 
 
 def grid_four() -> list[Weights]:
-    tenths = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
-    out = [(a, b, c, round(1.0 - a - b - c, 8)) for a in tenths for b in tenths[:6] for c in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)]
+    """The last weight is the rest, 0.05 at least."""
+    out = [(a, b, c, round(1.0 - a - b - c, 8)) for a in FOUR_A for b in FOUR_B for c in FOUR_C]
     return [w for w in out if w[3] >= 0.05]
 
 
@@ -73,8 +79,9 @@ def gate(p: DataFrame, model: str, chance: str) -> DataFrame:
 
 def median_shift(p: DataFrame, least: float = 0.02) -> DataFrame:
     """shift (0 unless medians differ by more than `least` and shifting lowers the error), mae_before and mae_after."""
-    shift = p.agg((F.median("y") - F.median("pred")).alias("_shift"))
-    moved = p.join(F.broadcast(shift)).agg(F.first("_shift").alias("_shift"), F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae_before"), F.avg(F.abs(clip_score(F.col("pred") + F.col("_shift")) - F.col("y"))).alias("_moved"))
+    middle = quantiles(p, {c: (c, 0.5) for c in ("y", "pred")})
+    shift = F.lit(None if None in middle.values() else middle["y"] - middle["pred"]).cast("double")
+    moved = p.withColumn("_shift", shift).agg(F.first("_shift").alias("_shift"), F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae_before"), F.avg(F.abs(clip_score(F.col("pred") + F.col("_shift")) - F.col("y"))).alias("_moved"))
     used = (F.abs("_shift") > least) & (F.col("_moved") < F.col("mae_before"))
     return moved.select(F.when(used, F.col("_shift")).otherwise(F.lit(0.0)).alias("shift"), "mae_before", F.when(used, F.col("_moved")).otherwise(F.col("mae_before")).alias("mae_after"))
 

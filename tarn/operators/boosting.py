@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 from .trees import LEAF, Binning, Params, Split, Tree, best_shared_split, best_split, histogram, totals, weight
 
-# fixed values: the published settings of the three families
+# fixed values: the published settings of the families
 PUBLISHED = {
     "lgb": Params("leaf", "squared", 1500, 0.03, leaves=127, depth=0, least_rows=60, l1=0.1, l2=0.1, columns=0.8, category=True),
     "xgb": Params("level", "squared", 1500, 0.03, depth=6, least_hessian=50.0, l1=0.1, l2=1.0, rows=0.8, columns=0.8),
     "cat": Params("symmetric", "absolute", 1500, 0.03, depth=6, l2=3.0, bins=254),
+    "l1": Params("leaf", "absolute", 1500, 0.03, leaves=31, depth=0, least_rows=50, rows=0.8, columns=0.8),
 }
 #: Distinct values of a feature that a partition's summary keeps.
 SUMMARY = 2048
@@ -70,6 +71,7 @@ class Boosted:
     jobs: list[Job]
     base: list[float]
     trees: list[list[Tree]] = field(default_factory=list)
+    errors: list[list[float]] = field(default_factory=list)  # of held rows, after 0, 1, ... trees
 
     def predict(self, df: DataFrame, to: str = "predictions") -> DataFrame:
         """Adds an array with each job's prediction."""
@@ -469,12 +471,25 @@ class Growing:
         return out
 
 
-def train_jobs(df: DataFrame, names: Sequence[str], targets: Sequence[str], jobs: Sequence[Job], category: str | None = None, weights: Sequence[str] | None = None, held: str | None = None) -> Boosted:
+def train_jobs(
+    df: DataFrame, names: Sequence[str], targets: Sequence[str], jobs: Sequence[Job], category: str | None = None, weights: Sequence[str] | None = None, held: str | None = None,
+    rivals: list[list[float]] | None = None,
+) -> Boosted:
     """Trains all jobs at once.
 
     `weights` has a column for each target; `held` names a boolean column: a job stops once the mean absolute error (of predictions held to
-    0..5) on its rows has not fallen for its `patience`, and keeps the trees up to the best. Not one row goes to the driver.
+    0..5) on its rows has not fallen for its `patience`, and keeps the trees up to the best. With `rivals` (errors of earlier models by
+    trees) a job also stops once its error is above the median of theirs and of the other jobs' at equal trees. Not one row goes to the driver.
     """
+    trainer, model = prepare(df, names, targets, jobs, category, weights, held)
+    _boost(trainer, held is not None, rivals)
+    trainer.blocks.unpersist()
+    model.trees, model.errors = trainer.trees, trainer.errors
+    return model
+
+
+def prepare(df: DataFrame, names: Sequence[str], targets: Sequence[str], jobs: Sequence[Job], category: str | None = None, weights: Sequence[str] | None = None, held: str | None = None) -> tuple[Trainer, Boosted]:
+    """Binned blocks and models without trees."""
     names, jobs = list(names), list(jobs)
     w = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in weights] if weights else [F.lit(1.0)]
     used = F.lit(True) if held is None else ~F.coalesce(F.col(held), F.lit(False))
@@ -503,12 +518,19 @@ def train_jobs(df: DataFrame, names: Sequence[str], targets: Sequence[str], jobs
         trainer.medians(roots, [[0] if a else [] for a in absolute])
         base = [r.value[0] if r else b for r, b in zip(roots, base, strict=True)]
         trainer.ask = replace(ask, base=base)
-    _boost(trainer, held is not None)
-    trainer.blocks.unpersist()
-    return Boosted(names, category, binning, codes, jobs, base, trainer.trees)
+    return trainer, Boosted(names, category, binning, codes, jobs, base)
+
+
+#: Trees before which no model is given up for its rivals.
+WARM_UP = 5
+
+
+def _hopeless(errors: list[list[float]], rivals: list[list[float]], j: int, t: int) -> bool:
+    others = [e[t] for e in [*rivals, *errors[:j], *errors[j + 1 :]] if len(e) > t]
+    return t >= WARM_UP and len(errors[j]) > t and len(others) > 1 and errors[j][t] > float(np.median(others))
 
 
-def _boost(trainer: Trainer, stops: bool) -> None:
+def _boost(trainer: Trainer, stops: bool, rivals: list[list[float]] | None = None) -> None:
     jobs = trainer.ask.jobs
     best: list[tuple[float, int]] = [(float("inf"), 0)] * len(jobs)
     open_jobs, t = set(range(len(jobs))), 0
@@ -522,6 +544,7 @@ def _boost(trainer: Trainer, stops: bool) -> None:
                 if node < 0:
                     error = sums[0] / sums[1]
                     best[j] = min(best[j], (error, t))
+                    trainer.errors[j].append(error)
                 else:
                     growing[j].known[node], growing[j].sums[node] = split, tuple(sums)
             for j, own in enumerate(nodes):
@@ -529,7 +552,7 @@ def _boost(trainer: Trainer, stops: bool) -> None:
                     if (j, n) not in found:
                         growing[j].known[n] = None
                         growing[j].sums.setdefault(n, (0.0, 0.0, 0.0))
-            for j in [j for j in growing if stops and (t - best[j][1] >= jobs[j].params.patience or t >= jobs[j].params.trees)]:  # the pass told the error of t trees
+            for j in [j for j in growing if stops and (t - best[j][1] >= jobs[j].params.patience or t >= jobs[j].params.trees or (rivals is not None and _hopeless(trainer.errors, rivals, j, t)))]:  # the pass told the error of t trees
                 open_jobs.discard(j)
                 del growing[j]
         done = {j: g.finished() for j, g in growing.items()}

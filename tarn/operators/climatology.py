@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import future_month
 from ..functions.measures import at_least
+from .quantiles import quantiles
 
 KEY, ORDER = "region_id", "ordinal"
 
@@ -29,8 +30,8 @@ def region_statistics(panel: DataFrame) -> DataFrame:
 
 def region_medians(panel: DataFrame) -> DataFrame:
     """Median score by region; the median of all scores where a region has none."""
-    whole = panel.agg(F.median("score").alias("_all"))
-    return panel.groupBy(KEY).agg(F.median("score").alias("_own")).join(F.broadcast(whole)).select(KEY, F.coalesce("_own", "_all").alias("median_score"))
+    whole = F.lit(quantiles(panel, {"all": ("score", 0.5)})["all"]).cast("double")
+    return panel.groupBy(KEY).agg(F.coalesce(F.median("score"), whole).alias("median_score"))
 
 
 def monthly(rows: DataFrame, columns: Sequence[str], floor: float | None = None, keys: Sequence[str] = (KEY, "month")) -> DataFrame:
@@ -94,14 +95,21 @@ def seasonal_forward(weekly: DataFrame, rows: DataFrame, weeks: int = 5) -> Data
     o = Window.partitionBy(KEY).orderBy(ORDER)
     end = F.last("month").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = weekly.select("*", *(F.coalesce(F.lead("month", k).over(o), end).alias(f"_m{k}") for k in range(1, weeks + 1)))
-    for k in range(1, weeks + 1):
-        out = seasonal_mean(out, rows, f"_m{k}", f"rsm_fw_wk{k}")
-    return out.drop(*(f"_m{k}" for k in range(1, weeks + 1)))
+    return _forward(out, rows, weeks)
 
 
 def seasonal_forward_test(tests: DataFrame, rows: DataFrame, weeks: int = 5) -> DataFrame:
     """The same for rows without followers: months by the calendar."""
     out = tests.select("*", *(future_month(F.col("month"), F.col("day"), k).alias(f"_m{k}") for k in range(1, weeks + 1)))
-    for k in range(1, weeks + 1):
-        out = seasonal_mean(out, rows, f"_m{k}", f"rsm_fw_wk{k}")
-    return out.drop(*(f"_m{k}" for k in range(1, weeks + 1)))
+    return _forward(out, rows, weeks)
+
+
+def _forward(out: DataFrame, rows: DataFrame, weeks: int) -> DataFrame:
+    """rsm_fw_wk1.. from _m1..: one row for each region with its months' means, joined once."""
+    scored = rows.filter(F.col(KEY).isNotNull())
+    by_month = scored.groupBy(KEY, "month").agg(F.avg("score").alias("_mean"), F.sum("score").alias("_sum"), F.count("score").alias("_count"))
+    season = F.map_from_entries(F.collect_list(F.when(F.col("month").isNotNull() & F.col("_mean").isNotNull(), F.struct("month", "_mean")))).alias("_season")  # twelve months at most
+    by_region = by_month.groupBy(KEY).agg(season, F.try_divide(F.sum("_sum"), F.sum("_count")).alias("_regional"))
+    joined = out.join(by_region, [KEY], "left")
+    means = (F.coalesce(F.col("_season")[F.col(f"_m{k}")], F.col("_regional"), F.lit(0.0)).alias(f"rsm_fw_wk{k}") for k in range(1, weeks + 1))
+    return joined.select(*(c for c in out.columns if c not in {f"_m{k}" for k in range(1, weeks + 1)}), *means)

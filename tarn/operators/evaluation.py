@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import band, clip_score
+from .quantiles import quantiles
 
 KEY = "region_id"
+#: Ranges of scores in which ranks are counted.
+RANGES = 256
 
 
 def long_form(w: DataFrame, preds: dict[str, Sequence[str]] | None = None, horizons: int = 5, keep: Sequence[str] = (KEY, "i")) -> DataFrame:
@@ -45,10 +48,17 @@ def variation_over_weeks(p: DataFrame) -> DataFrame:
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by mean ranks of ties, from counts by score: one row for each distinct score."""
+    """Area under the ROC curve by mean ranks of ties, from counts by score: one row for each distinct score.
+
+    Ranks go by some 256 ranges of scores, then inside a range, so no task ranks all scores.
+    """
     at = df.groupBy(score).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
-    before = F.sum("all").over(Window.orderBy(score)) - F.col("all")
-    ranked = at.withColumn("rank", before + (F.col("all") + 1) / 2)
+    bounds = df.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 4 * RANGES)).first()[0] or []
+    placed = at.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, dict.fromkeys(bounds))), lambda b: b < F.col(score))) if bounds else F.lit(0))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offset = placed.groupBy("_range").agg(F.sum("all").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_offset"))
+    before = F.sum("all").over(Window.partitionBy("_range").orderBy(score)) - F.col("all") + F.col("_offset")
+    ranked = placed.join(F.broadcast(offset), ["_range"]).withColumn("rank", before + (F.col("all") + 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("all").alias("n"))
     return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -57,9 +67,9 @@ def encode_medians(train: DataFrame, to: DataFrame, horizons: int = 5) -> DataFr
     """Adds to `to` the median target of the region in `train` for each horizon; the median of all for unseen regions."""
     ys = range(1, horizons + 1)
     own = train.groupBy(KEY).agg(*(F.median(f"y{k}").alias(f"_own{k}") for k in ys))
-    whole = train.agg(*(F.median(f"y{k}").alias(f"_all{k}") for k in ys))
-    joined = to.join(own, [KEY], "left").join(F.broadcast(whole))
-    return joined.select(*to.columns, *(F.coalesce(f"_own{k}", f"_all{k}").alias(f"region_median_week{k}") for k in ys))
+    whole = quantiles(train, {f"y{k}": (f"y{k}", 0.5) for k in ys})
+    joined = to.join(own, [KEY], "left")
+    return joined.select(*to.columns, *(F.coalesce(f"_own{k}", F.lit(whole[f"y{k}"]).cast("double")).alias(f"region_median_week{k}") for k in ys))
 
 
 def forecast_table(template: DataFrame, forecasts: DataFrame, horizons: int = 5) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import cyclic
 from ..functions.measures import at_least
-from .rolling import MinRows, dry_days, lags, prior, prior_stats, tenth
+from .frames import CHUNK, Prior, over_chunks, with_priors
+from .rolling import MinRows, dry_days, lags, prior, tenth
 
 # fixed values: the columns of the daily weather panel
 WEATHER = ("prec", "surf_pre", "humidity", "tmp", "dp_tmp", "wb_tmp", "tmp_max", "tmp_min", "tmp_range", "surf_tmp", "wind", "wind_max", "wind_min", "wind_range")
@@ -30,11 +31,18 @@ def trend(column: str) -> Column:
     return (prior(column, "mean", 7, 3) - prior(column, "mean", 30, 10)) / at_least(prior(column, "std", 30, 10), 0.01)
 
 
+#: What the indices are made of: means of a quarter and a year, and the shape of the last month's rain.
+PARTS = [Prior(c, "mean", w, least, f"__{c}_{w}") for c in ("prec", "humidity", "tmp") for w, least in ((90, 30), (365, 60))]
+PARTS += [Prior("prec", "mean", 7, 3, "__prec_7"), Prior("prec", "mean", 30, 10, "__prec_30"), Prior("prec", "std", 30, 10, "__prec_std")]
+
+
 def indices(df: DataFrame) -> DataFrame:
-    first = df.select(
-        "*", deficit("prec").alias("prec_deficit_90d"), trend("prec").alias("prec_trend_30d"), deficit("humidity").alias("humidity_deficit_90d"), deficit("tmp").alias("tmp_anomaly_90d")
-    )
-    return dry_days(first.withColumn("heat_drought_idx", F.col("prec_deficit_90d") * at_least(F.col("tmp_anomaly_90d"), 0.0)))
+    """The indices in place of their parts."""
+    gap = lambda c: F.col(f"__{c}_90") - F.col(f"__{c}_365")
+    heat = gap("prec") * at_least(gap("tmp"), 0.0)
+    rain = (F.col("__prec_7") - F.col("__prec_30")) / at_least(F.col("__prec_std"), 0.01)
+    named = [gap("prec").alias("prec_deficit_90d"), rain.alias("prec_trend_30d"), gap("humidity").alias("humidity_deficit_90d"), gap("tmp").alias("tmp_anomaly_90d"), heat.alias("heat_drought_idx")]
+    return dry_days(df.select("*", *named).drop(*(p.name for p in PARTS)))
 
 
 @dataclass(frozen=True)
@@ -63,15 +71,20 @@ class FeatureSet:
         out += ["regional_mean_score"] * self.regional_mean + ["regional_seasonal_mean"] * self.seasonal_mean
         return out + [f"rsm_fw_wk{k}" for k in range(1, self.seasonal_forward + 1)] + [f"{c}_spi{w}" for c, w in self.spi]
 
-    def daily(self, panel: DataFrame) -> DataFrame:
-        """The panel with all features that depend on a region's own days."""
+    def daily(self, panel: DataFrame, chunk: int = CHUNK) -> DataFrame:
+        """The panel with all features that depend on a region's own days; long histories go by chunks of days."""
         month, day = cyclic(F.col("month"), 12), cyclic(F.col("day"), 31)
         named = [c.alias(n) for c, n in zip((*month, *day), ("month_sin", "month_cos", "day_sin", "day_cos"), strict=True)]
         have = set(panel.columns)
         lagged = lags([c for c in self.lag_columns if c in have], self.lag_steps)
-        rolled = prior_stats([c for c in self.roll_columns if c in have], self.roll_widths, self.stats, self.least)
-        out = panel.select("*", *named, *lagged, *rolled)
-        return indices(out) if self.with_indices else out
+        wanted = [Prior(c, s, w, self.least(w), f"{c}_roll{w}_{s}") for c in self.roll_columns if c in have for w in self.roll_widths for s in self.stats]
+        wanted += PARTS if self.with_indices else []
+
+        def build(days: DataFrame) -> DataFrame:
+            out = with_priors(days.select("*", *named, *lagged), wanted)
+            return indices(out) if self.with_indices else out
+
+        return over_chunks(panel, max([1, *(p.width for p in wanted), *self.lag_steps]), build, chunk)
 
 
 FULL = FeatureSet()

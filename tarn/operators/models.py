@@ -1,29 +1,27 @@
-"""Tree ensembles for each horizon, on pyspark.ml.
+"""Tree ensembles for each horizon: boosted families and random trees on histograms; classifiers on pyspark.ml.
 
-Regions enter as their median targets, not as a category of thousands of values. Trees take no nulls, so a missing feature
-becomes 0 with an indicator beside it. Predictions are held to [0, 5].
+The five horizons, and all seeds, are trained in one call over the same binned rows. Predictions are held to [0, 5].
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import band_weight, clip_score, linear_weight
+from .boosting import PUBLISHED, Boosted, Job, Params, ordered_target_mean, train_jobs
 from .evaluation import absolute_error
 from .features import WEATHER
-from .splits import HORIZONS
+from .forest import train_forest
+from .splits import HORIZONS, YS
 
 
 def imputed(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -35,73 +33,95 @@ def _inputs(names: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=[*names, *(f"{n}_missing" for n in names)], outputCol="features")
 
 
-#: Trees at most where boosting stops early.
-MAX_TREES = 40
-
-FAMILIES: dict[str, Callable[[int], object]] = {
-    "squared": lambda seed: GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed),
-    "second": lambda seed: GBTRegressor(maxIter=15, maxDepth=5, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
-    "absolute": lambda seed: GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, lossType="absolute", seed=seed),
-    "forest": lambda seed: RandomForestRegressor(numTrees=30, maxDepth=8, seed=seed),
-}
+#: Families of the boosted models, as published; `forest` are random trees.
+FAMILIES: dict[str, Params] = PUBLISHED
+# fixed values: the published settings of the random trees
+FOREST = Params(trees=300, depth=20, least_rows=50, columns=0.7)
+KEY = "region_id"
 
 
 @dataclass
 class Horizons:
-    """One model for each horizon."""
+    """One model for each horizon: the jobs of a boosted call from `first` on, `each` of them for a horizon."""
 
-    names: list[str]
-    models: list[PipelineModel]
+    boosted: Boosted
+    first: int = 0
+    each: int = 1
+
+    @property
+    def names(self) -> list[str]:
+        return self.boosted.names
+
+    def jobs(self, k: int) -> list[int]:
+        """Jobs of a horizon, from 1."""
+        begin = self.first + (k - 1) * self.each
+        return list(range(begin, begin + self.each))
 
     def predict(self, df: DataFrame, prefix: str = "pred_week") -> DataFrame:
-        out = imputed(df, self.names)
-        for k, model in enumerate(self.models, 1):
-            out = model.transform(out).withColumn(f"{prefix}{k}", clip_score(F.col("prediction"))).drop("prediction", "features")
-        return out.drop(*(f"{n}_missing" for n in self.names))
+        return _mean_of([self], self.boosted.predict(df, "_predictions"), df.columns, prefix)
 
     @property
     def tree_counts(self) -> list[int]:
-        return [m.stages[-1].getNumTrees for m in self.models]
+        return [len(self.boosted.trees[self.jobs(k)[0]]) for k in range(1, HORIZONS + 1)]
 
     def importances(self, spark) -> DataFrame:
-        """feature and mean gain over the horizons; a feature's indicator counts to it."""
-        gains = [0.0] * len(self.names)
-        for m in self.models:
-            for i, g in enumerate(m.stages[-1].featureImportances.toArray()):
-                gains[i % len(self.names)] += float(g) / len(self.models)
-        return spark.createDataFrame(list(zip(self.names, gains, strict=True)), "feature string, gain double")
+        """feature and mean gain over the horizons."""
+        own = [j for k in range(1, HORIZONS + 1) for j in self.jobs(k)]
+        gains = self.boosted.importances()[own].sum(axis=0) / HORIZONS
+        return spark.createDataFrame([(n, float(g)) for n, g in zip(self.names, gains, strict=True)], "feature string, gain double")
+
+
+def _mean_of(models: Sequence[Horizons], predicted: DataFrame, keep: Sequence[str], prefix: str) -> DataFrame:
+    """The mean of the models' predictions, held to [0, 5]."""
+    parts = lambda k: [F.col("_predictions")[j] for m in models for j in m.jobs(k)]
+    mean = lambda k: clip_score(sum(parts(k)[1:], parts(k)[0]) / len(parts(k)))
+    return predicted.select(*(f"`{c}`" for c in keep), *(mean(k).alias(f"{prefix}{k}") for k in range(1, HORIZONS + 1)))
 
 
 #: Weights of a row by its target.
 WEIGHTS: dict[str, Callable[[Column], Column]] = {"band": band_weight, "linear": linear_weight}
 
 
-def train(df: DataFrame, names: Sequence[str], family: str = "squared", seed: int = 42, weights: str | None = None, held: str | None = None, trees: Sequence[int] | None = None) -> Horizons:
-    """One ensemble for each horizon.
+def train(df: DataFrame, names: Sequence[str], family: str | Params = "lgb", seed: int = 42, weights: str | None = None, held: str | None = None, trees: Sequence[int] | None = None) -> Horizons:
+    """One boosted model for each horizon; those that take a category get the region.
 
     `held` names a boolean column: boosting stops where the error on its rows falls no more, and keeps the trees up to the
     best. `trees` sets the number of trees for each horizon instead.
     """
-    ready = imputed(df, names)
-    models = []
-    for k in range(1, HORIZONS + 1):
-        rows = ready.filter(F.col(f"y{k}").isNotNull())
-        tree = FAMILIES[family](seed + k - 1).setLabelCol(f"y{k}").setFeaturesCol("features")
-        if held:
-            tree = tree.setParams(validationIndicatorCol=held, maxIter=MAX_TREES)
-        elif trees:
-            tree = tree.setParams(maxIter=trees[k - 1])
-        if weights:
-            rows = rows.withColumn("weight", WEIGHTS[weights](F.col(f"y{k}")))
-            tree = tree.setWeightCol("weight")
-        models.append(Pipeline(stages=[_inputs(names), tree]).fit(rows))
-    return Horizons(list(names), models)
-
-
-def train_seeds(df: DataFrame, names: Sequence[str], family: str, seeds: Sequence[int] = (42, 123, 777), held: str | None = None) -> list[Horizons]:
-    """Models of several seeds; with `held`, the first stops early and the others take its numbers of trees."""
+    return train_seeds(df, names, family, [seed], held, weights, trees)[0]
+
+
+def train_seeds(
+    df: DataFrame, names: Sequence[str], family: str | Params = "lgb", seeds: Sequence[int] = (42, 123, 777), held: str | None = None, weights: str | None = None, trees: Sequence[int] | None = None
+) -> list[Horizons]:
+    """Models of several seeds in one call, so rows are binned once; with `held` each of them stops early."""
+    p = FAMILIES[family] if isinstance(family, str) else family
+    counts = trees or [p.trees] * HORIZONS
+    jobs = [Job(k, seed + k, replace(p, trees=counts[k])) for seed in seeds for k in range(HORIZONS)]
+    rows = df.withColumns({f"_weight{k}": WEIGHTS[weights](F.col(y)) for k, y in enumerate(YS)}) if weights else df
+    boosted = train_jobs(rows, names, YS, jobs, KEY if p.category else None, [f"_weight{k}" for k in range(HORIZONS)] if weights else None, held)
+    return [Horizons(boosted, i * HORIZONS) for i in range(len(seeds))]
+
+
+def train_following(df: DataFrame, names: Sequence[str], family: str | Params = "lgb", seeds: Sequence[int] = (42, 123), held: str | None = None) -> list[Horizons]:
+    """The first seed stops early, the others take its numbers of trees."""
     first = train(df, names, family, seeds[0], held=held)
-    return [first, *(train(df, names, family, s, trees=first.tree_counts if held else None) for s in seeds[1:])]
+    fit_on = df.filter(~F.col(held)) if held else df
+    return [first, *train_seeds(fit_on, names, family, seeds[1:], trees=first.tree_counts)]
+
+
+def train_random(df: DataFrame, names: Sequence[str], p: Params = FOREST, seed: int = 42, weights: str | None = None) -> Horizons:
+    """Random trees for each horizon."""
+    rows = df.withColumns({f"_weight{k}": WEIGHTS[weights](F.col(y)) for k, y in enumerate(YS)}) if weights else df
+    return Horizons(train_forest(rows, names, YS, p.trees, p, seed, [f"_weight{k}" for k in range(HORIZONS)] if weights else None), 0, p.trees)
+
+
+def with_region_target(fit_on: DataFrame, others: DataFrame, target: str = "y1", order: Sequence[str] = ("i",), seed: int = 42, to: str = "region_target") -> tuple[DataFrame, DataFrame]:
+    """Both tables with the region's mean target: of earlier rows in a fixed random order for training rows, of all training rows for others."""
+    prior = float(fit_on.agg(F.avg(target)).first()[0] or 0.0)
+    means = fit_on.groupBy(F.col(KEY).alias("_region")).agg(((F.coalesce(F.sum(target), F.lit(0.0)) + prior) / (F.count(target) + 1)).alias("_mean"))
+    joined = others.join(means, F.col(KEY).eqNullSafe(F.col("_region")), "left")
+    return ordered_target_mean(fit_on, KEY, target, order, seed, prior, to=to), joined.select(*others.columns, F.coalesce("_mean", F.lit(prior)).alias(to))
 
 
 def best_counts(models: Sequence[Horizons]) -> list[int]:
@@ -133,33 +153,31 @@ def importance_by_group(importances: DataFrame, top: int = 10) -> DataFrame:
 
 
 def predict_mean(models: Sequence[Horizons], df: DataFrame) -> DataFrame:
-    """Mean prediction over seeds."""
-    out = df
-    for j, m in enumerate(models):
-        out = m.predict(out, f"_seed{j}_")
-    ks = range(1, HORIZONS + 1)
-    terms = lambda k: [F.col(f"_seed{j}_{k}") for j in range(len(models))]
-    return out.select(*df.columns, *((sum(terms(k)[1:], terms(k)[0]) / len(models)).alias(f"pred_week{k}") for k in ks))
-
-
-def train_chain(df: DataFrame, names: Sequence[str], family: str = "squared", seed: int = 42) -> list[PipelineModel]:
+    """Mean prediction over seeds, in one pass for those that were trained together."""
+    together: dict[int, list[Horizons]] = {}
+    for m in models:
+        together.setdefault(id(m.boosted), []).append(m)
+    out, ks = df, range(1, HORIZONS + 1)
+    for g, own in enumerate(together.values()):
+        out = _mean_of(own, own[0].boosted.predict(out, "_predictions"), out.columns, f"_group{g}_")
+    share = [len(own) / len(models) for own in together.values()]
+    mean = lambda k: sum((F.col(f"_group{g}_{k}") * s for g, s in enumerate(share)), F.lit(0.0))
+    return out.select(*(f"`{c}`" for c in df.columns), *(mean(k).alias(f"pred_week{k}") for k in ks))
+
+
+def train_chain(df: DataFrame, names: Sequence[str], family: str | Params = "lgb", seed: int = 42) -> list[Boosted]:
     """Horizon k also sees the true y1..y(k-1)."""
-    ready = imputed(df, [*names, *(f"y{k}" for k in range(1, HORIZONS))])
-    ready = ready.withColumns({f"_y{k}": F.col(f"y{k}") for k in range(1, HORIZONS + 1)})
-    out = []
-    for k in range(1, HORIZONS + 1):
-        tree = FAMILIES[family](seed).setLabelCol(f"y{k}").setFeaturesCol("features")
-        inputs = VectorAssembler(inputCols=[*names, *(f"{n}_missing" for n in names), *(f"_y{j}" for j in range(1, k))], outputCol="features")
-        out.append(Pipeline(stages=[inputs, tree]).fit(ready))
-    return out
+    p = FAMILIES[family] if isinstance(family, str) else family
+    seen = df.withColumns({f"_{y}": F.col(y) for y in YS})
+    return [train_jobs(seen, [*names, *(f"_{y}" for y in YS[:k])], [YS[k]], [Job(0, seed, p)], KEY if p.category else None) for k in range(HORIZONS)]
 
 
-def predict_chain(models: Sequence[PipelineModel], names: Sequence[str], df: DataFrame) -> DataFrame:
+def predict_chain(models: Sequence[Boosted], df: DataFrame) -> DataFrame:
     """Horizon k sees the predictions before it."""
-    out = imputed(df, names)
-    for k, m in enumerate(models, 1):
-        out = m.transform(out).withColumn(f"_y{k}", clip_score(F.col("prediction"))).drop("prediction", "features")
-    return out.select(*df.columns, *(F.col(f"_y{k}").alias(f"pred_week{k}") for k in range(1, len(models) + 1)))
+    out = df
+    for y, m in zip(YS, models, strict=False):
+        out = m.predict(out, "_predictions").withColumn(f"_{y}", clip_score(F.col("_predictions")[0])).drop("_predictions")
+    return out.select(*df.columns, *(F.col(f"_{y}").alias(f"pred_week{k}") for k, y in enumerate(YS[: len(models)], 1)))
 
 
 def train_hurdle(df: DataFrame, names: Sequence[str], seed: int = 42) -> list[PipelineModel]:
@@ -199,17 +217,23 @@ def select_features(importances: DataFrame, k: int) -> list[str]:
 
 
 def permutation_importance(model: Horizons, rows: DataFrame, names: Sequence[str]) -> list[tuple[str, float]]:
-    """Growth of the first horizon's mean error with a feature set to its mean."""
-    error = lambda df: model.predict(df).agg(F.avg(absolute_error(F.col("pred_week1"), F.col("y1")))).first()[0]
-    base = error(rows)
+    """Growth of the first horizon's mean error with a feature set to its mean, all features in one job."""
     means = rows.agg(*(F.avg(n).alias(n) for n in names)).first()
-    return [(n, error(rows.withColumn(n, F.lit(means[n]).cast("double"))) - base) for n in names]
+    each = rows.withColumn("_constant", F.explode(F.array(*map(F.lit, range(-1, len(names))))))
+    flat = each.withColumns({n: F.when(F.col("_constant") == i, F.lit(means[n]).cast("double")).otherwise(F.col(n)) for i, n in enumerate(names)})
+    found = model.predict(flat).groupBy("_constant").agg(F.avg(absolute_error(F.col("pred_week1"), F.col("y1"))).alias("error")).collect()
+    error = {r["_constant"]: r["error"] for r in found}
+    return [(n, error[i] - error[-1]) for i, n in enumerate(names)] if error else []
+
+
+#: Tags of features in the list of the most important ones, the first that fits.
+TAGS = {"SPI": "spi", "NEW": "surf_pre_roll|dp_tmp_roll", "FW": "^rsm_fw"}  # fixed values
 
 
-def tune(rows: DataFrame, names: Sequence[str], depths: Sequence[int] = (3, 5), steps: Sequence[float] = (0.05, 0.1), seed: int = 42) -> dict[str, float]:
-    """Best depth and step of the first horizon by mean absolute error on a random fifth."""
-    tree = GBTRegressor(maxIter=10, labelCol="y1", featuresCol="features", seed=seed)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.stepSize, list(steps)).build()
-    search = TrainValidationSplit(estimator=tree, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="y1", metricName="mae"), trainRatio=0.8, seed=seed)
-    best = search.fit(_inputs(names).transform(imputed(rows, names))).bestModel
-    return {"maxDepth": best.getMaxDepth(), "stepSize": best.getStepSize()}
+def top_features(importances: DataFrame, top: int = 25) -> DataFrame:
+    """place, feature, its share of all gain in percent, and its tag."""
+    whole = importances.agg(F.sum("gain").alias("_whole"))
+    tag = F.coalesce(*(F.when(F.regexp_like("feature", F.lit(p)), F.lit(t)) for t, p in TAGS.items()), F.lit(""))
+    place = F.row_number().over(Window.orderBy(F.desc("gain"), "feature"))  # a row for each feature
+    ranked = importances.crossJoin(F.broadcast(whole)).select(place.alias("place"), "feature", F.coalesce(F.try_divide(F.col("gain") * 100, "_whole"), F.lit(0.0)).alias("percent"), tag.alias("tag"))
+    return ranked.filter(F.col("place") <= top)

@@ -49,10 +49,6 @@ def lags(columns: Sequence[str], steps: Sequence[int]) -> list[Column]:
     return [F.lag(c, k).over(by_time()).alias(f"{c}_lag{k}") for c in columns for k in steps]
 
 
-def prior_stats(columns: Sequence[str], widths: Sequence[int], stats: Sequence[str], least: MinRows = tenth) -> list[Column]:
-    return [prior(c, s, w, least(w)).alias(f"{c}_roll{w}_{s}") for c in columns for w in widths for s in stats]
-
-
 def prior_means_by_prefix(df: DataFrame, column: str, widths: Sequence[int], least: MinRows = tenth) -> DataFrame:
     """Prior means and deviations of many widths from running sums, whose cost does not grow with the widths.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .rolling import by_time, roll
 
 KEY, ORDER = "region_id", "ordinal"
@@ -55,7 +56,12 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, count, mean, std, min, quartiles and max."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"), F.max(c).alias("max")) for c in columns]
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = quantiles(df, {f"{c}_{q}": (c, s) for c in columns for q, s in shares.items()})
+    parts = [
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *(F.lit(found[f"{c}_{q}"]).cast("double").alias(q) for q in shares), F.max(c).alias("max"))
+        for c in columns
+    ]
     return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
 
 
@@ -87,10 +93,10 @@ def rolled_now(panel: DataFrame, columns: Sequence[str], width: int = 7) -> Data
 def extreme_contrast(panel: DataFrame, columns: Sequence[str], share: float = 0.95) -> DataFrame:
     """Mean score and rows above a column's quantile and elsewhere, over labelled rows."""
     rows = panel.filter(F.col("score").isNotNull())
-    edges = rows.agg(*(F.percentile(c, share).alias(f"_{c}") for c in columns))
-    high = lambda c: F.col(c) > F.col(f"_{c}")
+    edges = quantiles(rows, {c: (c, share) for c in columns})
+    high = lambda c: F.col(c) > F.lit(edges[c])
     parts = [F.struct(F.lit(c).alias("column"), F.avg(F.when(high(c), F.col("score"))).alias("mean_high"), F.avg(F.when(~high(c), F.col("score"))).alias("mean_rest"), F.sum(high(c).cast("long")).alias("n_high"), F.sum((~high(c)).cast("long")).alias("n_rest")) for c in columns]
-    return rows.join(F.broadcast(edges)).agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
+    return rows.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
 
 
 def range_compare(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import climatology as clim
 from ..operators import evaluation as ev
 from ..operators import summaries, weekly
 from ..operators.features import FeatureSet
+from ..operators.quantiles import quantile_row
 from ..operators.splits import last_windows
 from ..sources import files
 from ..sources.adapter import panel
@@ -70,7 +71,7 @@ query("agg_by_day", "SELECT day, count(*) AS n FROM labelled GROUP BY 1", lambda
 query("value_counts", "SELECT score AS value, count(*) AS n FROM panel GROUP BY 1", lambda s, d: summaries.value_counts(panel(s, d), "score"), "value")
 query("null_profile", " UNION ALL ".join(f"SELECT '{x}' AS column, count(*) - count({x}) AS nulls, (count(*) - count({x})) * 100.0::DOUBLE / count(*) AS percent FROM panel" for x in (*COLS, "score")), lambda s, d: summaries.null_profile(panel(s, d), (*COLS, "score")), "percent")
 query("describe", " UNION ALL ".join(f"SELECT '{x}' AS column, count({x}) AS count, avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, quantile_cont({x}, 0.25) AS q25, quantile_cont({x}, 0.5) AS q50, quantile_cont({x}, 0.75) AS q75, max({x}) AS max FROM panel" for x in (*COLS, "score")), lambda s, d: summaries.describe(panel(s, d), (*COLS, "score")), "mean std min q25 q50 q75 max")
-query("quantile_global", "SELECT quantile_cont(prec, 0.999) AS q999, quantile_cont(prec, 0.95) AS q95 FROM panel", lambda s, d: panel(s, d).agg(F.percentile("prec", 0.999).alias("q999"), F.percentile("prec", 0.95).alias("q95")), "q999 q95")
+query("quantile_global", "SELECT quantile_cont(prec, 0.999) AS q999, quantile_cont(prec, 0.95) AS q95 FROM panel", lambda s, d: quantile_row(panel(s, d), {"q999": ("prec", 0.999), "q95": ("prec", 0.95)}), "q999 q95")
 query("nunique", "SELECT count(DISTINCT region_id) AS n FROM panel", lambda s, d: panel(s, d).agg(F.count_distinct(R).alias("n")))
 query("last_per_region", "SELECT region_id, arg_max(score, ordinal) AS last FROM weekly GROUP BY 1", lambda s, d: weekly_rows(s, d).groupBy(R).agg(F.max_by("score", "ordinal").alias("last")), "last")
 _NUM = ("prec", "tmp", "humidity", "wind", "tmp_min", "tmp_max", "score")

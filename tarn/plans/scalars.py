@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions import measures as ms
 from ..operators import features, rolling, summaries, weekly
 from ..sources import files
 from ..sources.adapter import panel
+from ..sources.shared import fresh_folder
 from .base import query, weekly_rows
 
 KEY = ["region_id", "ordinal"]
@@ -20,11 +19,8 @@ MINI = ("prec", "tmp", "humidity")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a query that writes and reads back: the session's shared one, else a temporary one."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
+    """A folder for a query that writes and reads back, in the session's shared one."""
+    return fresh_folder(spark)
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
@@ -120,7 +116,16 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("src_find", f"SELECT {K}, prec FROM panel", _found, "prec")
 query("fx_small", f"SELECT {K}, prec FROM panel WHERE region_id IN (SELECT DISTINCT region_id FROM panel ORDER BY 1 LIMIT 3)", lambda s, d: summaries.first_regions(panel(s, d), 3).select(*KEY, "prec"), "prec")
 query("fx_synth", None, lambda s, d: files.synthetic_panel(s, 2, 100))
-query("ckpt", None, lambda s, d: files.load_or_compute(s, scratch(s), ["prec"], lambda: panel(s, d).select(*KEY, "prec")))
+
+
+def _reused(s: SparkSession, d: str) -> DataFrame:
+    """The second call reads what the first one stored: its own rows would be none."""
+    root, rows = scratch(s), panel(s, d).select(*KEY, "prec")
+    files.load_or_compute(s, root, ["prec"], lambda: rows)
+    return files.load_or_compute(s, root, ["prec"], lambda: rows.limit(0))
+
+
+query("ckpt", f"SELECT {K}, prec FROM panel", _reused, "prec")
 
 # dates
 _DATE = "printf('%04d-%02d-%02d', year, month, day)"
@@ -163,7 +168,7 @@ for _x, _p, _e in (("month", 12, "month"), ("day", 31, "day"), ("week", 52, "((o
 
 _project("year_norm", "(year - 2000) / 20.0::DOUBLE", lambda: (c("year") - 2000) / 20.0, double=True)
 query("global_year_norm", f"SELECT {K}, (ordinal - min(ordinal) OVER ())::DOUBLE / greatest(max(ordinal) OVER () - min(ordinal) OVER (), 1) AS global_year_norm FROM panel", lambda s, d: summaries.year_span(panel(s, d)).select(*KEY, "global_year_norm"), "global_year_norm")
-query("spreads", f"SELECT {K}, tmp_max - tmp_min AS t, tmp - humidity AS s, wind - 1 AS w FROM panel", lambda s, d: panel(s, d).select(*KEY, (c("tmp_max") - c("tmp_min")).alias("t"), (c("tmp") - c("humidity")).alias("s"), (c("wind") - 1).alias("w")), "t s w")
+query("spreads", f"SELECT {K}, tmp_max - tmp_min AS t, surf_tmp - tmp AS s, wind - 1 AS w FROM panel", lambda s, d: panel(s, d).select(*KEY, (c("tmp_max") - c("tmp_min")).alias("t"), (c("surf_tmp") - c("tmp")).alias("s"), (c("wind") - 1).alias("w")), "t s w")
 _project("storm_proxy", "wind * prec", lambda: c("wind") * c("prec"), double=True)
 _project("vpd_magnus", "CASE WHEN tmp IS NOT NULL AND humidity IS NOT NULL THEN greatest(6.112 * exp(17.67 * tmp / (tmp + 243.5)) * (1 - humidity / 100), 0.0) END", lambda: ms.vpd_magnus(c("tmp"), c("humidity")), double=True)
 
@@ -194,12 +199,12 @@ query("aet_proxy", f"SELECT {K}, {agg('avg', 'aet', -29, 0, 7)} AS x FROM {_aet}
 
 
 def _dryness(s: SparkSession, d: str) -> DataFrame:
-    made = panel(s, d).withColumn("dryness", c("tmp") - c("humidity"))
+    made = panel(s, d).withColumn("dryness", c("tmp") - c("dp_tmp"))
     w = rolling.by_time()
     return made.select(*KEY, "dryness", *(rolling.prior("dryness", "mean", n, k).alias(f"r{n}") for n, k in ((7, 3), (30, 5), (90, 14))), *(F.lag("dryness", k).over(w).alias(f"l{k}") for k in (7, 21)))
 
 
-query("air_dryness", f"SELECT {K}, dryness, " + ", ".join(f"{agg('avg', 'dryness', -n, -1, k)} AS r{n}" for n, k in ((7, 3), (30, 5), (90, 14))) + ", lag(dryness, 7) OVER o AS l7, lag(dryness, 21) OVER o AS l21 FROM (SELECT *, tmp - humidity AS dryness FROM panel) WINDOW o AS (PARTITION BY region_id ORDER BY ordinal)", _dryness, "dryness r7 r30 r90 l7 l21")
+query("air_dryness", f"SELECT {K}, dryness, " + ", ".join(f"{agg('avg', 'dryness', -n, -1, k)} AS r{n}" for n, k in ((7, 3), (30, 5), (90, 14))) + ", lag(dryness, 7) OVER o AS l7, lag(dryness, 21) OVER o AS l21 FROM (SELECT *, tmp - dp_tmp AS dryness FROM panel) WINDOW o AS (PARTITION BY region_id ORDER BY ordinal)", _dryness, "dryness r7 r30 r90 l7 l21")
 
 # values and rows
 query("coerce_score", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS DOUBLE) END AS x FROM events", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", ms.coerce(F.when(c("event_id") % 3 == 0, F.lit("n/a")).otherwise(c("event_id").cast("string"))).alias("x")), "x", tables="events_ AS (SELECT 1)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
-from ..operators import blending, features, rolling, scores, sequences, splits, weekly
+from ..operators import blending, features, frames, rolling, scores, sequences, splits, weekly
 from ..operators import climatology as clim
 from ..operators.evaluation import long_form
 from ..sources.adapter import panel
@@ -34,7 +34,7 @@ _lags("lag_weather_v8", _LAG, (1, 3, 7, 14, 21, 28))
 def _rolls(name: str, columns: tuple[str, ...], widths: tuple[int, ...], stats: tuple[str, ...], least: rolling.MinRows = rolling.tenth) -> None:
     names = [f"{x}_roll{w}_{t}" for x in columns for w in widths for t in stats]
     sql = ", ".join(f"{agg(NAMES[t], x, -w, -1, least(w))} AS {x}_roll{w}_{t}" for x in columns for w in widths for t in stats)
-    query(name, f"SELECT {K}, {sql} FROM panel", lambda s, d: panel(s, d).select(*KEY, *rolling.prior_stats(columns, widths, stats, least)), " ".join(names))
+    query(name, f"SELECT {K}, {sql} FROM panel", lambda s, d: frames.with_prior_stats(panel(s, d).select(*KEY, *columns), columns, widths, stats, least).select(*KEY, *names), " ".join(names))
 
 
 _W = (7, 14, 30, 60, 90, 180)
@@ -86,7 +86,8 @@ _V = [(w, t) for w in (7, 30, 90) for t in ("mean", "std", "max")]
 
 
 def _vpd(s: SparkSession, d: str) -> DataFrame:
-    return panel(s, d).withColumn("vpd", ms.vpd_magnus(c("tmp"), c("humidity"))).select(*KEY, *rolling.prior_stats(("vpd",), (7, 30, 90), ("mean", "std", "max")))
+    days = panel(s, d).select(*KEY, ms.vpd_magnus(c("tmp"), c("humidity")).alias("vpd"))
+    return frames.with_prior_stats(days, ("vpd",), (7, 30, 90), ("mean", "std", "max")).drop("vpd")
 
 
 query("vpd_roll", f"SELECT {K}, " + ", ".join(f"{agg(NAMES[t], 'vpd', -w, -1, max(3, w // 10))} AS vpd_roll{w}_{t}" for w, t in _V) + " FROM (SELECT *, greatest(6.112 * exp(17.67 * tmp / (tmp + 243.5)) * (1 - humidity / 100), 0.0) AS vpd FROM panel)", _vpd, " ".join(f"vpd_roll{w}_{t}" for w, t in _V))

@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.calendar import ordinal, split_date
 from ..functions.measures import coerce
 from ..operators.features import WEATHER
+from .shared import files_at
 
 
 def csv_schema(columns: Sequence[str]) -> T.StructType:
@@ -48,6 +48,18 @@ def write_panel_parquet(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").parquet(path)
 
 
+#: Stands beside archives that were all written; a folder without it is half a panel.
+WHOLE = "_SUCCESS"
+
+
+def _whole(path: str) -> str:
+    """`path`, if it is one archive or a folder whose archives are complete."""
+    files, root = files_at(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if not root.endswith(".npz") and files.get_file_info(f"{root}/{WHOLE}").type.name != "File":
+        raise FileNotFoundError(f"{path} has no {WHOLE}: its archives are not complete")
+    return path
+
+
 def _npz_rows(measures: Sequence[str], dates: Sequence[str] = ("year", "month", "day")):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -73,7 +85,7 @@ def _npz_writer(folder: str, measures: Sequence[str], dates: Sequence[str], rows
 
         from pyspark import TaskContext
 
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = files_at(folder)
         part = TaskContext.get().partitionId()
         held: list[pa.RecordBatch] = []
         count = 0
@@ -120,15 +132,18 @@ def write_panel_npz(df: DataFrame, path: str, measures: Sequence[str], rows: int
     picked = df.select(F.col("region_id").cast("string").alias("region_id"), *dates, *(F.col(c).cast("double").alias(c) for c in measures))
     sort = ["region_id", *dates, *measures]
     uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    make, root = fs.FileSystem.from_uri(uri)
+    make, root = files_at(uri)
     make.create_dir(root, recursive=True)
     done = picked.repartition("region_id").sortWithinPartitions(*sort).mapInArrow(_npz_writer(uri, measures, dates, rows), "archive string, rows long")
-    return done.agg(F.coalesce(F.count("*"), F.lit(0))).first()[0]
+    archives = done.agg(F.coalesce(F.count("*"), F.lit(0))).first()[0]
+    with make.open_output_stream(f"{root}/{WHOLE}") as mark:
+        mark.write(str(archives).encode())
+    return archives
 
 
 def read_regions_npz(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
     """Archives of regions without dates, as submission templates are."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(_whole(path)).select("content")
     return files.mapInArrow(_npz_rows(measures, ()), "region_id string, " + ", ".join(f"{c} double" for c in measures))
 
 
@@ -138,7 +153,7 @@ def read_panel_npz(spark: SparkSession, path: str, measures: Sequence[str]) -> D
     Names must be stored as fixed-width text: archives of pickled objects are refused.
     """
     schema = "region_id string, year int, month int, day int, " + ", ".join(f"{c} double" for c in measures)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(_whole(path)).select("content")
     rows = files.mapInArrow(_npz_rows(measures), schema)
     return rows.withColumn("ordinal", ordinal(F.col("year"), F.col("month"), F.col("day")))
 
@@ -174,27 +189,50 @@ def write_table_csv(df: DataFrame, path: str) -> None:
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Parquet that appears under `path` whole or not at all: written beside it, then renamed; what was there is replaced."""
+    """Parquet that replaces what is at `path`: written beside it, then the old is moved aside, the new one in, and the old deleted.
+
+    A stop between the moves leaves both whole: :func:`restore` brings the old one back.
+    """
     import uuid
 
     spark = df.sparkSession
     hidden = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(hidden)
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (hidden, path))
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(new, True)
-    if not files.rename(old, new):
+    new, to, aside = (_path(spark, p) for p in (hidden, path, path.rstrip("/") + ASIDE))
+    files = restore(spark, path)
+    if files.exists(to) and not files.rename(to, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not files.rename(new, to):
+        files.rename(aside, to)
         raise OSError(f"{hidden} could not be renamed to {path}")
+    files.delete(aside, True)
+
+
+#: Where the old content waits while the new one is moved in.
+ASIDE = ".old"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def restore(spark: SparkSession, path: str):
+    """Undoes or ends a replacement that stopped half-way; gives the file system."""
+    to, aside = _path(spark, path), _path(spark, path.rstrip("/") + ASIDE)
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(aside):
+        if files.exists(to):
+            files.delete(aside, True)
+        else:
+            files.rename(aside, to)
+    return files
 
 
 def load_or_compute(spark: SparkSession, root: str, names: Sequence[str], compute) -> DataFrame:
     """A checkpoint whose path holds a hash of the feature names, so other features make another checkpoint."""
     path = f"{root.rstrip('/')}/{hashlib.sha256('|'.join(names).encode()).hexdigest()[:16]}"
-    jvm = spark.sparkContext._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
-        compute().write.mode("overwrite").parquet(path)
+    if not restore(spark, path).exists(_path(spark, f"{path}/_SUCCESS")):
+        write_atomic(compute(), path)
     return spark.read.parquet(path)
 
 

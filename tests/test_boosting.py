@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import boosting, trees
+from tarn.operators import boosting, forest, trees, tuning
 from tarn.operators.boosting import Job, Params, train_jobs
 
 R = np.random.default_rng(5)
@@ -215,3 +215,77 @@ def test_empty_and_missing(spark):
     model = train_jobs(gone, ["a", "b"], ["y"], [Job(0, 1, FAMILIES["leaf"])], "region")
     seen = model.predict(df.withColumn("region", F.lit(None).cast("string"))).collect()
     assert len(seen) == 30 and all(np.isfinite(r.predictions[0]) for r in seen)
+
+
+# random trees
+
+
+def test_drawn_thresholds(spark):
+    """Thresholds differ by seed and lie between a node's least and largest values, so both sides have rows."""
+    x, c, y, w = data(500, missing=0.05)
+    df = frame(spark, x, c, y, w)
+    p = Params(depth=5, least_rows=4, columns=0.7)
+    model = forest.train_forest(df, ["a", "b", "c"], ["y"], 6, p)
+    roots = {(t.feature[0], t.bin[0]) for (t,) in model.trees}
+    assert len(roots) > 2
+    bins = model.binning.codes(x)
+    for (t,) in model.trees:
+        leaf = t.leaves(bins, np.zeros(len(y), int))
+        assert min(np.bincount(leaf)[[n for n, f in enumerate(t.feature) if f < 0]]) >= 4 and len(t.feature) > 15
+        for n in np.unique(leaf):
+            assert t.value[n] == pytest.approx(y[leaf == n].mean())
+    again = forest.train_forest(df.repartition(7), ["a", "b", "c"], ["y"], 6, p)
+    assert [t.feature for (t,) in again.trees] == [t.feature for (t,) in model.trees] and [t.bin for (t,) in again.trees] == [t.bin for (t,) in model.trees]
+
+
+def test_thresholds_lie_between_extents():
+    edges = np.array([0.0, 1.0, 2.0, 10.0])  # bins 1..5
+    draws = [forest.threshold(edges, 2, 5, False, u) for u in np.linspace(0, 1, 101)]
+    assert set(draws) == {2, 3, 4} and draws.count(3) > 80  # most of the span lies between 2 and 10
+    assert forest.threshold(edges, 3, 3, False, 0.5) == -1 and forest.threshold(edges, 3, 3, True, 0.5) == 2
+
+
+def test_random_trees_are_near_a_forest(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    x, c, y, w = data(1200, missing=0.0)
+    train, test = frame(spark, x[:900], c[:900], y[:900], w[:900]), frame(spark, x[900:], c[900:], y[900:], w[900:])
+    mine = forest.train_forest(train, ["a", "b", "c"], ["y"], 20, Params(depth=8, least_rows=5, columns=1.0)).predict(test)
+    error = mine.select(F.avg(F.abs(F.aggregate("predictions", F.lit(0.0), lambda s, v: s + v) / 20 - F.col("y")))).first()[0]
+    made = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x")
+    other = RandomForestRegressor(numTrees=20, maxDepth=8, seed=1, labelCol="y", featuresCol="x", featureSubsetStrategy="all").fit(made.transform(train)).transform(made.transform(test))
+    assert error < 1.2 * other.select(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+
+
+# guided search
+
+
+def test_sampler_beats_chance():
+    """The least of a fixed function after 40 trials, over 30 seeds."""
+    loss = lambda p: (p[0] - 0.13) ** 2 + (p[1] - 0.77) ** 2 + 0.5 * abs(p[2] - 0.4)
+    guided, chance = [], []
+    for seed in range(30):
+        sampler = tuning.Parzen(3, seed)
+        for _ in range(40):
+            p = sampler.ask()
+            sampler.tell(p, loss(p))
+        guided.append(min(sampler.losses))
+        chance.append(min(map(loss, np.random.default_rng(seed).random((40, 3)))))
+    assert np.mean(guided) < 0.6 * np.mean(chance) and np.mean(np.array(guided) < chance) > 0.7
+
+
+def test_search_space():
+    at = tuning.SPACE["rate"].at
+    assert (at(0.0), at(1.0)) == pytest.approx((0.01, 0.1)) and at(0.5) == pytest.approx(0.1**1.5)
+    assert tuning.SPACE["leaves"].at(0.5) == 143
+
+
+def test_tune_gives_up_hopeless_trials(spark):
+    x, c, y, w = data(300)
+    df = frame(spark, x, c, y, w, np.arange(300) % 3 == 0)
+    base = Params("leaf", "squared", 9, depth=0, patience=9)
+    best, loss = tuning.tune(df, ["a", "b", "c"], "y", "held", base, 4, 4, {"rate": tuning.Range(0.001, 0.4, log=True), "leaves": tuning.Range(2, 9, whole=True)})
+    assert set(best) == {"rate", "leaves"} and 0 < loss < np.abs(y - np.median(y)).mean()
+    assert boosting._hopeless([[3.0] * 9, [2.0] * 9], [[1.0] * 9], 0, 6) and not boosting._hopeless([[1.0] * 9, [2.0] * 9], [[1.5] * 9], 0, 6)
+    assert not boosting._hopeless([[3.0] * 9, [2.0] * 9], [[1.0] * 9], 0, boosting.WARM_UP - 1)

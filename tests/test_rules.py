@@ -84,7 +84,7 @@ def test_prefix_sums_equal_frames(spark):
     rng = np.random.default_rng(1)
     df = series(spark, [None if x < 10 else 1e5 + x for x in rng.uniform(0, 100, 120)])
     a = rolling.prior_means_by_prefix(df, "prec", [7, 30])
-    b = df.select("*", *rolling.prior_stats(["prec"], [7, 30], ["mean", "std"]))
+    b = df.select("*", *(rolling.prior("prec", s, w, rolling.tenth(w)).alias(f"prec_roll{w}_{s}") for w in (7, 30) for s in ("mean", "std")))
     for c in ("prec_roll7_mean", "prec_roll7_std", "prec_roll30_mean", "prec_roll30_std"):
         x, y = ([np.nan if v is None else v for v in column(t, c)] for t in (a, b))
         np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-6)
@@ -170,7 +170,7 @@ def test_archives_round_trip(spark, tmp_path):
     assert files.write_panel_npz(df, str(tmp_path / "a"), ["prec"], rows=1) == 4
     got = [tuple(r)[:5] for r in files.read_panel_npz(spark, str(tmp_path / "a"), ["prec"]).collect()]
     assert sorted(got, key=repr) == sorted(rows, key=repr)
-    assert not [f for f in (tmp_path / "a").iterdir() if not f.name.endswith(".npz")]
+    assert [f.name for f in (tmp_path / "a").iterdir() if not f.name.endswith(".npz")] == [files.WHOLE]
     assert files.write_panel_npz(df.limit(0), str(tmp_path / "b"), ["prec"]) == 0
 
 
@@ -185,9 +185,46 @@ def test_boosting_stops_early_and_groups_of_names(spark):
     rng = np.random.default_rng(2)
     rows = [(float(a), *(float(rng.normal()) if i % 4 == 0 else float(a > 0) for _ in range(5)), i % 4 == 0) for i, a in enumerate(rng.normal(size=200))]
     df = spark.createDataFrame(rows, "prec double, y1 double, y2 double, y3 double, y4 double, y5 double, held boolean")
-    first, second = models.train_seeds(df, ["prec"], "squared", (1, 2), "held")
-    assert max(first.tree_counts) < models.MAX_TREES  # held rows follow no feature, so more trees don't help
+    few = models.Params("leaf", "squared", 30, 0.5, leaves=8, depth=0, patience=4)
+    first, second = models.train_following(df, ["prec"], few, (1, 2), "held")
+    assert max(first.tree_counts) < 30  # held rows follow no feature, so more trees don't help
     assert second.tree_counts == first.tree_counts == models.best_counts([first, second])
     gains = spark.createDataFrame([("prec", 1.0), ("prec_lag1", 2.0), ("dp_tmp_roll7_mean", 3.0), ("prec_roll7_mean", 4.0)], "feature string, gain double")
     got = {r.part: r.percent for r in models.importance_by_group(gains, 2).collect()}
     assert [got[k] for k in ("weather", "lags", "rolling_dp_tmp", "rolling", "spi", "top2")] == pytest.approx([10, 20, 30, 40, 0, 70])
+    assert [tuple(r) for r in models.top_features(gains, 3).orderBy("place").collect()] == [(1, "prec_roll7_mean", 40.0, ""), (2, "dp_tmp_roll7_mean", 30.0, "NEW"), (3, "prec_lag1", 20.0, "")]
+
+
+def test_replacement_that_stops_half_way(spark, tmp_path):
+    """The old checkpoint is back after a stop between the two moves, and a finished one stays."""
+    import shutil
+
+    path = f"{tmp_path}/ckpt"
+    one, two = spark.range(1), spark.range(2)
+    files.write_atomic(one, path)
+    shutil.move(path, path + files.ASIDE)  # stopped after the first move
+    files.restore(spark, path)
+    assert spark.read.parquet(path).count() == 1
+    shutil.copytree(path, path + files.ASIDE)  # stopped before the old one was deleted
+    files.write_atomic(two, path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / ("ckpt" + files.ASIDE)).exists()
+
+
+def test_half_written_archives_are_refused(spark, tmp_path):
+    folder = f"file://{tmp_path}/npz"
+    df = spark.createDataFrame([("R1", 2000, 1, d, 1.5) for d in range(1, 9)], "region_id string, year int, month int, day int, prec double")
+    files.write_panel_npz(df, folder, ["prec"], rows=3)
+    assert files.read_panel_npz(spark, folder, ["prec"]).count() == 8
+    (tmp_path / "npz" / files.WHOLE).unlink()
+    with pytest.raises(FileNotFoundError):
+        files.read_panel_npz(spark, folder, ["prec"])
+
+
+def test_names_of_object_stores():
+    from tarn.sources.shared import files_at
+
+    for scheme in ("s3a", "s3n"):
+        try:
+            assert files_at(f"{scheme}://bucket/key")[1] == "bucket/key"
+        except OSError as e:  # no network
+            assert "Unrecognized" not in str(e)
