@@ -10,8 +10,8 @@ Reading back is a split at the marks and the reverse replacements.
 
 Defined results: null texts and roles are empty; null scores count as 0; ties of branches go to the smaller leaf id; a
 message whose parent is missing is a root; ids of different trees have nothing to do with each other; a null tree is one tree; a
-message without an id can have no replies; of rows that repeat a message id of one tree the least by parent, role, text and
-score counts; messages on a cycle, or under one, have no root and give no path; other columns are left out; an empty table
+message without an id is one of its own, which can have no replies; of rows that repeat a message id of one tree the least by
+parent, role, text and score counts; messages on a cycle, or under one, have no root and give no path; other columns are left out; an empty table
 gives an empty table.
 """
 
@@ -93,10 +93,19 @@ def walks(chosen: DataFrame, up: list[DataFrame]) -> DataFrame:
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:
-    """Nulls filled, and of rows that repeat a message id of one tree the least by parent, role, text and score."""
+    """Nulls filled, and of rows that repeat a message id of one tree the least by parent, role, text and score.
+
+    node and parent become (id, name): a message without an id is named by what it says and a number, so none is lost.
+    """
     filled = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    least = filled.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("least"))
-    return least.select("tree", "node", "least.*")
+    named = lambda id, name: F.struct(F.col(id).alias("id"), name.cast("string").alias("name"))
+    above = F.when(F.col("parent").isNotNull(), named("parent", F.lit(None)))
+    least = filled.filter("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("least")).select("tree", "node", "least.*")
+    known = least.select("tree", named("node", F.lit(None)).alias("node"), above.alias("parent"), "role", "text", "score")
+    nameless = filled.filter("node is null").groupBy("tree", "node", "parent", "role", "text", "score").agg(F.count("*").cast("int").alias("copies"))
+    digest = F.sha2(F.to_json(F.struct("parent", "role", "text", "score")).cast("binary"), 256)
+    nameless = nameless.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return known.union(nameless.select("tree", named("node", F.concat_ws(":", digest, F.col("copy").cast("string"))).alias("node"), above.alias("parent"), "role", "text", "score"))
 
 
 def format_trees(messages: DataFrame, top: int | None = 1, skeleton: DataFrame | None = None) -> DataFrame:
@@ -123,7 +132,8 @@ def format_trees(messages: DataFrame, top: int | None = 1, skeleton: DataFrame |
     placed = placed.withColumn("begin", F.sum("chars").over(w) - F.col("chars"))
     span = F.when(F.col("learnt"), F.struct((F.col("begin") + F.col("before")).cast("long").alias("start"), (F.col("begin") + F.col("chars") - len(END)).cast("long").alias("end")))
     rows = placed.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("begin", "turn"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
-    return rows.select("tree", "leaf", "rank", "n_turns", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
+    leaf = F.col("leaf")["id"].alias("leaf") if skeleton is None else F.col("leaf")
+    return rows.select("tree", leaf, "rank", "n_turns", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:

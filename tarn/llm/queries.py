@@ -132,7 +132,7 @@ c AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said,
          coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS learnt,
-         sum(length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), '<' || chr(10) || '|')) + 1
+         sum(length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), '<\n|')) + 1
              + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,

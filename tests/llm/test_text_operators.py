@@ -141,6 +141,26 @@ def test_ids_of_different_trees_and_repeated_ids(spark):
     assert got == [("None", "2", 2, 0), ("t1", "2", 2, 1), ("t2", "2", 2, 0), ("t2", "None", 1, 0)]
 
 
+def test_messages_without_an_id_are_all_kept(spark):
+    rows = [("t", "1", None, "user", "q", 1.0, "")] + [("t", None, "1", "assistant", f"a{i}", 0.1 * i, "") for i in range(3)] + [("t", None, "1", "assistant", "a2", 0.2, "")]
+    got = chat_format.format_trees(spark.createDataFrame(rows, CHAT), None).collect()
+    said = [r.formatted.replace("<|im_start|>", "").replace("<|im_end|>", "") for r in sorted(got, key=lambda r: r["rank"])]
+    assert said == ["user\nq\nassistant\na2\n"] * 2 + ["user\nq\nassistant\na1\n", "user\nq\nassistant\na0\n"] and {r.leaf for r in got} == {None}
+
+
+def test_sql_of_roles_with_line_ends(spark, tmp_path):
+    import duckdb
+
+    from tarn.llm.queries import ORACLE_SQL
+
+    rows = [(1, 0, "us\ner<|", "a\\b"), (1, 1, "assistant", None), (2, None, None, "<|x"), (2, 1, "\n", "t")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op1_chat_format"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op1_chat_format"](spark, str(tmp_path)).collect())) == want and len(want) == 3
+
+
 def test_comb(spark):
     """A leaf at every message of a long chain: paths are ranked without being written out."""
     n = 10_000
