@@ -141,7 +141,7 @@ FROM c""",
     "op2_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key
+         md5('2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key, row_number() OVER () AS n
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
@@ -154,18 +154,18 @@ leveled AS (
 found AS (SELECT arg_min(level, cap / weight) AS level FROM leveled WHERE level <= cap / weight),
 targets AS (SELECT w.source, source_size, nth, least(cap, coalesce(f.level * weight, cap)) AS target FROM weighed w CROSS JOIN found f),
 queued AS (
-  SELECT s.source, t.nth, t.source_size, t.target, s.size, s.key,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.size ROWS UNBOUNDED PRECEDING) AS served
+  SELECT s.source, t.nth, t.source_size, t.target, s.size, s.key, s.n,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.n ROWS UNBOUNDED PRECEDING) AS served
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0),
 items AS (
-  SELECT source, nth, size, key, r AS round, (served + source_size * r) / target AS finish FROM queued, (VALUES (0), (1)) AS v(r)),
+  SELECT source, nth, size, key, n, r AS round, (served + source_size * r) / target AS finish FROM queued, (VALUES (0), (1)) AS v(r)),
 clock AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, nth, round, key RANGE UNBOUNDED PRECEDING) AS used FROM items),
+  SELECT *, sum(size) OVER (ORDER BY finish, nth, round, key, n ROWS UNBOUNDED PRECEDING) AS used FROM items),
 cuts AS (
-  SELECT source, max(key) FILTER (round = 0) AS cut0, max(key) FILTER (round = 1) AS cut1 FROM clock
+  SELECT source, max({'key': key, 'n': n}) FILTER (round = 0) AS cut0, max({'key': key, 'n': n}) FILTER (round = 1) AS cut1 FROM clock
   WHERE used * 2 <= 3 * (SELECT sum(source_size) FROM sources) GROUP BY source)
 SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, t.source_size, t.target,
-       CAST(s.size * (coalesce(CAST(s.key <= c.cut0 AS INT), 0) + coalesce(CAST(s.key <= c.cut1 AS INT), 0)) AS BIGINT) AS taken
+       CAST(s.size * (coalesce(CAST({'key': s.key, 'n': s.n} <= c.cut0 AS INT), 0) + coalesce(CAST({'key': s.key, 'n': s.n} <= c.cut1 AS INT), 0)) AS BIGINT) AS taken
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source""",
     "op11_url_filter": r"""

@@ -239,6 +239,23 @@ def test_mix_follows_targets(spark, seed, monkeypatch):
     assert sum(len((x.text or "").split()) for x in out.collect()) == sum(taken.values())
 
 
+def test_rows_that_repeat_do_not_exceed_the_budget(spark, monkeypatch):
+    """600 rows equal in id and text: some of them are taken, one by one, as far as the target goes."""
+    rows = [(-7, "w " * 15, "a", "k", 1)] * 600 + [(i, "x " * (i % 20 + 1), "b" if i % 2 else "c", "k", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    sizes = sum(len(t.split()) for _, t, *_ in rows)
+    mix = mixing.plan_mix(df)
+    got = mixing.mixed_sizes(mix).collect()
+    assert sum(x.taken for x in got) <= 1.5 * sizes
+    for s in {x.source_size for x in got}:
+        own = [x for x in got if x.source_size == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 40
+    assert len({x.taken for x in got if x.doc_id == -7}) == 2  # equal rows are not all taken alike
+    monkeypatch.setattr(mixing, "EDGE", 1)
+    monkeypatch.setattr(mixing, "TICKS", 3)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_sizes(mixing.plan_mix(df)).collect()))
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS)
     assert mixing.mixed_sizes(mixing.plan_mix(df)).count() == 0
