@@ -31,9 +31,19 @@ class _Range:
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], few: int = FEW) -> dict[str, float | None]:
-    """Each name's (column, share): the value at that share of the column's rows, linear between neighbours; null without rows."""
+    """Each name's (column, share): the value at that share of the column's rows, linear between neighbours; null without rows.
+
+    The columns are held (in memory, else on disk) while they are looked at, as what they come from may be dear.
+    """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    x = df.select(*(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    x = df.select(*(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns))).persist()
+    try:
+        return _quantiles(x, columns, wanted, few)
+    finally:
+        x.unpersist()
+
+
+def _quantiles(x: DataFrame, columns: list[str], wanted: dict[str, tuple[str, float]], few: int) -> dict[str, float | None]:
     name = {c: f"x{i}" for i, c in enumerate(columns)}
     shares = {c: sorted({s for k, s in wanted.values() if k == c}) for c in columns}
     first = x.agg(*(v for c in columns for v in (F.count(name[c]), F.min(name[c]), F.max(name[c]), _sketch(F.col(name[c]), [b for s in shares[c] for b in _around(s, 2 / ACCURACY)])))).first()

@@ -20,7 +20,7 @@ NAMES = ("prec", "tmp", "humidity", "wind", "score")
 PREDICTED = [f"pred_week{k}" for k in range(1, 6)]
 
 
-def _few(family: str, trees: int = 10, **more) -> Params:
+def _few(family: str, trees: int = 6, **more) -> Params:
     """A family's published settings with fewer, larger steps."""
     return replace(PUBLISHED[family], trees=trees, rate=0.2, bins=63, leaves=15, **more)
 
@@ -92,13 +92,13 @@ query("multi_seed_models", None, _seeds)
 
 def _best(s: SparkSession, d: str) -> DataFrame:
     """The mean best number of trees over three seeds, for each horizon."""
-    found = models.train_seeds(_stopped(*_parts(s, d)), NAMES, _few("lgb", 30, patience=5), held="held")
+    found = models.train_seeds(_stopped(*_parts(s, d)), NAMES, _few("lgb", 12, patience=3), held="held")
     return s.createDataFrame(list(enumerate(models.best_counts(found), 1)), "horizon long, trees long")
 
 
 def _schedule(s: SparkSession, d: str) -> DataFrame:
     seeds = (42, 123)
-    found = models.train_following(_stopped(*_parts(s, d)), NAMES, _few("lgb", 30, patience=5), seeds, "held")
+    found = models.train_following(_stopped(*_parts(s, d)), NAMES, _few("lgb", 12, patience=3), seeds, "held")
     return s.createDataFrame([(seed, k, n) for seed, m in zip(seeds, found, strict=True) for k, n in enumerate(m.tree_counts, 1)], "seed long, horizon long, trees long")
 
 
@@ -157,7 +157,7 @@ query("perm_importance", None, _permutation)
 
 
 def _tune(s: SparkSession, d: str) -> DataFrame:
-    best, _ = tuning.tune(_stopped(*_parts(s, d)), NAMES, "y1", "held", replace(_few("l1", 12), patience=6), trials=12, batch=6, category=R)
+    best, _ = tuning.tune(_stopped(*_parts(s, d)), NAMES, "y1", "held", replace(_few("l1", 8), patience=4), trials=12, batch=6, category=R)
     return s.createDataFrame([(k, float(v)) for k, v in best.items()], "parameter string, value double")
 
 
@@ -175,7 +175,7 @@ query("weights_guard", None, _guard)
 
 def _top(s: SparkSession, d: str) -> DataFrame:
     fit_on, _ = _full_parts(s, d)
-    return models.top_features(models.train(fit_on, FULL.names, _few("lgb", 5)).importances(s))
+    return models.top_features(models.train(fit_on, FULL.names, _few("lgb", 3)).importances(s))
 
 
 query("top_features", None, _top)
