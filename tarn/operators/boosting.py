@@ -478,7 +478,7 @@ def train_jobs(
     """Trains all jobs at once.
 
     `weights` has a column for each target; `held` names a boolean column: a job stops once the mean absolute error (of predictions held to
-    0..5) on its rows has not fallen for its `patience`, and keeps the trees up to the best. With `rivals` (errors of earlier models by
+    0..5) on its rows has not fallen for its `patience`, and keeps the trees up to the best, one at least. With `rivals` (errors of earlier models by
     trees) a job also stops once its error is above the median of theirs and of the other jobs' at equal trees. Not one row goes to the driver.
     """
     trainer, model = prepare(df, names, targets, jobs, category, weights, held)
@@ -572,7 +572,7 @@ def _boost(trainer: Trainer, stops: bool, rivals: list[list[float]] | None = Non
     if stops:
         for j, (error, at) in enumerate(best):
             if error < float("inf"):  # some rows are held
-                del trainer.trees[j][at:]
+                del trainer.trees[j][max(at, 1) :]
 
 
 def ordered_target_mean(df: DataFrame, key: str, target: str, order: Sequence[str], seed: int = 42, prior: float | None = None, weight_of_prior: float = 1.0, to: str = "target_mean") -> DataFrame:

@@ -1,6 +1,7 @@
 """Statistics of prior rows whose cost does not grow with the widths, over histories of any length.
 
-Means, deviations and sums are differences of running sums (about a whole number near the mean, so whole numbers stay exact);
+Means, deviations and sums are differences of running sums (about the first value as a whole number, so whole numbers stay exact and
+not even a last digit depends on later rows);
 largest and smallest values of 2, 4, 8, ... rows are built by doubling, and two of them cover any width. All of it is lags and running
 sums over one window: one exchange, one sort.
 
@@ -66,7 +67,8 @@ def with_priors(df: DataFrame, wanted: Sequence[Prior]) -> DataFrame:
     value = {p.column: f"CAST(`{p.column}` AS DOUBLE)" for p in wanted}
     sums = dict.fromkeys(p.column for p in wanted if p.stat != "median")
     squares = dict.fromkeys(p.column for p in wanted if p.stat == "std")
-    d = df.selectExpr("*", *(f"round(avg({value[c]}) OVER (PARTITION BY {KEY})) AS `__m_{c}`" for c in sums))
+    whole = f"OVER (PARTITION BY {KEY} ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    d = df.selectExpr("*", *(f"round(first({value[c]}, true) {whole}) AS `__m_{c}`" for c in sums))
     off = {c: f"({value[c]} - `__m_{c}`)" for c in sums}
     running = [f"coalesce(sum({off[c]}) {run}, 0.0D) AS `__s_{c}`" for c in sums] + [f"count({value[c]}) {run} AS `__c_{c}`" for c in sums]
     d = d.selectExpr("*", *running, *(f"coalesce(sum({off[c]} * {off[c]}) {run}, 0.0D) AS `__q_{c}`" for c in squares))
