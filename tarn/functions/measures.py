@@ -31,6 +31,17 @@ def clip_score(x: Column) -> Column:
     return clip(x, 0.0, SCORE_MAX)
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """x / y; NaN where y is 0, as 0 / 0 is."""
+    return F.when(y == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, y))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation, an aggregate over rows that have both: NaN where one side never varies, null without rows."""
+    both = x.isNotNull() & y.isNotNull()
+    return ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 # fixed values: weights of score bands [1, 2), [2, 3) and [3, ...)
 BAND_WEIGHTS = (1.3, 1.2, 1.1)
 BAND_WEIGHTS_STRONG = (2.0, 1.5, 1.2)

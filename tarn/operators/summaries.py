@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.measures import correlation
 from .quantiles import quantiles
 from .rolling import by_time, roll
 
@@ -70,9 +71,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b and corr of all pairs, in one aggregate."""
+    """a, b and corr of all pairs, in one aggregate; corr is NaN where a column never varies."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("corr")) for a, b in pairs]
     return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
 
 

@@ -228,3 +228,20 @@ def test_names_of_object_stores():
             assert files_at(f"{scheme}://bucket/key")[1] == "bucket/key"
         except OSError as e:  # no network
             assert "Unrecognized" not in str(e)
+
+
+def flat(spark):
+    """x varies, flat never does, z is opposite to x; some values are missing."""
+    return spark.createDataFrame([(1.0, 5.0, -1.0), (2.0, 5.0, -2.0), (None, 5.0, 9.0), (4.0, None, -4.0)], "x double, flat double, z double")
+
+
+def same(got, want):
+    assert [r[:-1] for r in got] == [w[:-1] for w in want]
+    np.testing.assert_allclose([np.inf if r[-1] is None else r[-1] for r in got], [np.inf if w[-1] is None else w[-1] for w in want])
+
+
+def test_correlations_of_a_constant(spark):
+    nan = float("nan")
+    got = [tuple(r) for r in summaries.correlations(flat(spark), ["x", "flat", "z"]).collect()]
+    same(got, [("x", "x", 1.0), ("x", "flat", nan), ("x", "z", -1.0), ("flat", "flat", nan), ("flat", "z", nan), ("z", "z", 1.0)])
+    assert [r.corr for r in summaries.correlations(flat(spark).filter("x > 9"), ["x", "z"]).collect()] == [None] * 3
