@@ -78,7 +78,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations_with(df: DataFrame, columns: Sequence[str], target: str = "score") -> DataFrame:
-    parts = [F.struct(F.lit(c).alias("column"), F.corr(c, target).alias("corr")) for c in columns]
+    """column and corr with the target; NaN where either never varies."""
+    parts = [F.struct(F.lit(c).alias("column"), correlation(F.col(c), F.col(target)).alias("corr")) for c in columns]
     return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
 
 

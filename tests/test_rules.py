@@ -245,3 +245,11 @@ def test_correlations_of_a_constant(spark):
     got = [tuple(r) for r in summaries.correlations(flat(spark), ["x", "flat", "z"]).collect()]
     same(got, [("x", "x", 1.0), ("x", "flat", nan), ("x", "z", -1.0), ("flat", "flat", nan), ("flat", "z", nan), ("z", "z", 1.0)])
     assert [r.corr for r in summaries.correlations(flat(spark).filter("x > 9"), ["x", "z"]).collect()] == [None] * 3
+
+
+def test_correlations_with_a_constant_target(spark):
+    nan = float("nan")
+    got = summaries.correlations_with(flat(spark), ["x", "z"], "flat")
+    same([tuple(r) for r in got.collect()], [("x", nan), ("z", nan)])
+    assert [r.column for r in summaries.top_by_size(got, "corr", 1).collect()] == ["x"]
+    same([tuple(r) for r in summaries.correlations_with(flat(spark), ["z", "flat"], "x").collect()], [("z", -1.0), ("flat", nan)])
