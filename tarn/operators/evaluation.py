@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import band, clip_score
+from ..functions.measures import band, clip_score, ratio
 from .quantiles import quantiles
 
 KEY = "region_id"
@@ -50,7 +50,7 @@ def variation_over_weeks(p: DataFrame) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by mean ranks of ties, from counts by score: one row for each distinct score.
 
-    Ranks go by some 256 ranges of scores, then inside a range, so no task ranks all scores.
+    Ranks go by some 256 ranges of scores, then inside a range, so no task ranks all scores. NaN if all labels are equal.
     """
     at = df.groupBy(score).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
     bounds = df.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 4 * RANGES)).first()[0] or []
@@ -60,7 +60,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     before = F.sum("all").over(Window.partitionBy("_range").orderBy(score)) - F.col("all") + F.col("_offset")
     ranked = placed.join(F.broadcast(offset), ["_range"]).withColumn("rank", before + (F.col("all") + 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("all").alias("n"))
-    return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
+    return total.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
 def encode_medians(train: DataFrame, to: DataFrame, horizons: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import calendar as cal
 from tarn.functions import measures as ms
-from tarn.operators import blending, features, models, rolling, sequences, splits, summaries, weekly
+from tarn.operators import blending, evaluation, features, models, rolling, sequences, splits, summaries, weekly
 from tarn.sources import files
 
 
@@ -253,3 +253,9 @@ def test_correlations_with_a_constant_target(spark):
     same([tuple(r) for r in got.collect()], [("x", nan), ("z", nan)])
     assert [r.column for r in summaries.top_by_size(got, "corr", 1).collect()] == ["x"]
     same([tuple(r) for r in summaries.correlations_with(flat(spark), ["z", "flat"], "x").collect()], [("z", -1.0), ("flat", nan)])
+
+
+@pytest.mark.parametrize(("labels", "area"), [((1, 1, 1), float("nan")), ((0, 0, 0), float("nan")), ((0, 1, 1), 1.0)])
+def test_auc_of_equal_labels(spark, labels, area):
+    rows = spark.createDataFrame([(n, float(i)) for i, n in enumerate(labels)], "label long, score double")
+    same([tuple(evaluation.auc(rows, "label", "score").first())], [(area,)])
