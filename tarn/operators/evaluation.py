@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import band, clip_score, ratio
+from ..functions.measures import band, clip_score, correlation, ratio
 from .quantiles import quantiles
 
 KEY = "region_id"
@@ -32,7 +32,7 @@ def mae(p: DataFrame) -> DataFrame:
 def by_horizon(p: DataFrame) -> DataFrame:
     """mae, bias and correlation (0 where either side hardly varies)."""
     flat = (F.stddev_pop("y") < 1e-6) | (F.stddev_pop("pred") < 1e-6)
-    return p.groupBy("horizon").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"), F.avg(F.col("pred") - F.col("y")).alias("bias"), F.when(flat, F.lit(0.0)).otherwise(F.corr("y", "pred")).alias("corr"))
+    return p.groupBy("horizon").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"), F.avg(F.col("pred") - F.col("y")).alias("bias"), F.when(flat, F.lit(0.0)).otherwise(correlation(F.col("y"), F.col("pred"))).alias("corr"))
 
 
 def by_band(p: DataFrame) -> DataFrame:

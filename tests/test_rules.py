@@ -259,3 +259,9 @@ def test_correlations_with_a_constant_target(spark):
 def test_auc_of_equal_labels(spark, labels, area):
     rows = spark.createDataFrame([(n, float(i)) for i, n in enumerate(labels)], "label long, score double")
     same([tuple(evaluation.auc(rows, "label", "score").first())], [(area,)])
+
+
+def test_errors_of_constant_forecasts(spark):
+    rows = spark.createDataFrame([(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 1.0, 2.0), (2, 2.0, 3.0)], "horizon long, y double, pred double")
+    got = evaluation.by_horizon(rows).orderBy("horizon").select("horizon", "corr").collect()
+    same([tuple(r) for r in got], [(1, 0.0), (2, 1.0)])
