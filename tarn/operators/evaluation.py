@@ -79,8 +79,8 @@ def forecast_table(template: DataFrame, forecasts: DataFrame, horizons: int = 5)
 
 
 def forecast_difference(a: DataFrame, b: DataFrame, horizons: int = 5) -> DataFrame:
-    """Mean absolute difference and correlation of two forecasts by horizon."""
+    """Mean absolute difference and correlation of two forecasts by horizon; the latter NaN where one never varies."""
     cols = range(1, horizons + 1)
     both = a.alias("a").join(b.alias("b"), F.col(f"a.{KEY}") == F.col(f"b.{KEY}"))
     pairs = both.select(F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("horizon"), F.col(f"a.pred_week{k}").alias("x"), F.col(f"b.pred_week{k}").alias("y")) for k in cols))).alias("r")).select("r.*")
-    return pairs.groupBy("horizon").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.corr("x", "y").alias("corr"))
+    return pairs.groupBy("horizon").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), correlation(F.col("x"), F.col("y")).alias("corr"))

@@ -265,3 +265,10 @@ def test_errors_of_constant_forecasts(spark):
     rows = spark.createDataFrame([(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 1.0, 2.0), (2, 2.0, 3.0)], "horizon long, y double, pred double")
     got = evaluation.by_horizon(rows).orderBy("horizon").select("horizon", "corr").collect()
     same([tuple(r) for r in got], [(1, 0.0), (2, 1.0)])
+
+
+def test_difference_of_constant_forecasts(spark):
+    weeks = ", ".join(f"pred_week{k} double" for k in range(1, 6))
+    a, b = (spark.createDataFrame([(r, *(x + r * v for v in (0, 1, 1, 1, 1))) for r in range(3)], f"region_id long, {weeks}") for x in (1.0, 2.0))
+    got = evaluation.forecast_difference(a, b).orderBy("horizon").collect()
+    same([tuple(r) for r in got], [(1, 1.0, float("nan")), *((k, 1.0, 1.0) for k in range(2, 6))])
