@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import correlation
+from ..functions.measures import correlation, ratio
 from .quantiles import quantiles
 from .rolling import by_time, roll
 
@@ -163,7 +163,7 @@ def year_span(df: DataFrame) -> DataFrame:
 
 
 def cumulative_share(importances: DataFrame) -> DataFrame:
-    """feature, gain, share, place and cumulative share."""
+    """feature, gain, share, place and cumulative share; shares are NaN if no feature has gained."""
     w = Window.orderBy(F.desc("gain"), "feature")
     total = F.sum("gain").over(Window.partitionBy())
-    return importances.select("feature", "gain", (F.col("gain") / total).alias("share"), F.row_number().over(w).cast("long").alias("place"), (F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("cumulative"))
+    return importances.select("feature", "gain", ratio(F.col("gain"), total).alias("share"), F.row_number().over(w).cast("long").alias("place"), ratio(F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"))

@@ -272,3 +272,11 @@ def test_difference_of_constant_forecasts(spark):
     a, b = (spark.createDataFrame([(r, *(x + r * v for v in (0, 1, 1, 1, 1))) for r in range(3)], f"region_id long, {weeks}") for x in (1.0, 2.0))
     got = evaluation.forecast_difference(a, b).orderBy("horizon").collect()
     same([tuple(r) for r in got], [(1, 1.0, float("nan")), *((k, 1.0, 1.0) for k in range(2, 6))])
+
+
+def test_shares_without_gain(spark):
+    gains = lambda *g: spark.createDataFrame(list(zip("ab", g, strict=True)), "feature string, gain double")
+    got = summaries.cumulative_share(gains(0.0, 0.0)).orderBy("place").collect()
+    assert [(r.feature, r.gain, r.place) for r in got] == [("a", 0.0, 1), ("b", 0.0, 2)]
+    assert all(np.isnan([r.share, r.cumulative]).all() for r in got)
+    assert [tuple(r) for r in summaries.cumulative_share(gains(1.0, 3.0)).orderBy("place").collect()] == [("b", 3.0, 0.75, 1, 0.75), ("a", 1.0, 0.25, 2, 1.0)]
