@@ -156,6 +156,13 @@ def top_by_size(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(F.abs(column)), "column").limit(k)
 
 
+def extreme_keys(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One row: the keys of the largest and the smallest value; of equal values the smallest key."""
+    rows = df.filter(F.col(column).isNotNull())
+    best = lambda sign: F.min(F.struct(sign * F.col(column), F.col(key)))[key]
+    return rows.agg(best(-1).alias("high"), best(1).alias("low"))
+
+
 def year_span(df: DataFrame) -> DataFrame:
     """Adds global_year_norm: the ordinal between the least and the largest of all rows."""
     span = df.agg(F.min(ORDER).alias("_a"), F.max(ORDER).alias("_b"))

@@ -153,7 +153,7 @@ query("submission_diff", f"SELECT CAST(k AS BIGINT) AS horizon, avg(abs(x - y))
 # sorts, limits and sets
 query("sort_panel", f"SELECT {K}, prec FROM panel ORDER BY region_id, ordinal", lambda s, d: panel(s, d).select(*KEY, "prec").orderBy(*KEY), "prec")
 query("head_tail", f"SELECT {K} FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ordinal DESC) AS nth FROM panel) WHERE nth <= 3", lambda s, d: weekly.last_rows(panel(s, d), [R], 3).select(*KEY))
-query("argmax_region", "SELECT arg_max(region_id, mean) AS high, arg_min(region_id, mean) AS low FROM (SELECT region_id, avg(score) AS mean FROM panel GROUP BY 1)", lambda s, d: clim.means(panel(s, d), [R]).agg(F.max_by(R, "mean_score").alias("high"), F.min_by(R, "mean_score").alias("low")))
+query("argmax_region", "SELECT arg_max(region_id, mean) AS high, arg_min(region_id, mean) AS low FROM (SELECT region_id, avg(score) AS mean FROM panel GROUP BY 1)", lambda s, d: summaries.extreme_keys(clim.means(panel(s, d), [R]), R, "mean_score"))
 query("union_panels", f"SELECT {K}, score FROM {SPLIT}", lambda s, d: (lambda p: weekly.union_panels(p.filter("split = 'train'"), p.filter("split = 'test'").drop("score")).select(*KEY, "score"))(weekly.hide_last(panel(s, d))), "score")
 query("distinct_regions", "SELECT DISTINCT region_id FROM panel", lambda s, d: panel(s, d).select(R).distinct())
 query("set_diff", "SELECT DISTINCT region_id FROM panel EXCEPT SELECT region_id FROM panel WHERE score >= 3", lambda s, d: (lambda p: p.select(R).subtract(p.filter("score >= 3").select(R)))(panel(s, d)))

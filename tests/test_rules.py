@@ -280,3 +280,11 @@ def test_shares_without_gain(spark):
     assert [(r.feature, r.gain, r.place) for r in got] == [("a", 0.0, 1), ("b", 0.0, 2)]
     assert all(np.isnan([r.share, r.cumulative]).all() for r in got)
     assert [tuple(r) for r in summaries.cumulative_share(gains(1.0, 3.0)).orderBy("place").collect()] == [("b", 3.0, 0.75, 1, 0.75), ("a", 1.0, 0.25, 2, 1.0)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_equal_extremes_go_to_the_smallest_key(spark, turned):
+    rows = [(4, None), (3, 1.0), (1, 1.0), (2, 1.0), (7, 0.5), (6, 0.5)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "region_id long, mean double")
+    assert tuple(summaries.extreme_keys(df.coalesce(1), "region_id", "mean").first()) == (1, 6)
+    assert tuple(summaries.extreme_keys(df.filter("mean is null"), "region_id", "mean").first()) == (None, None)
