@@ -414,3 +414,11 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     texts = fixture_texts() + ["equal text of some words here"] * 50
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()} == brute_classes(texts)
+
+
+@pytest.mark.parametrize("begin", [-9, -3, 0, 4, 30])
+def test_diagonals_beyond_a_text_match_nothing(begin):
+    a, b = np.array([0, 1, 2, 0], np.uint64), np.arange(8, dtype=np.uint64)
+    same = substring._lanes(b, begin, len(a), 6, a) == a
+    want = [[0 <= begin + r + i < len(b) and b[begin + r + i] == a[i] for i in range(len(a))] for r in range(6)]
+    assert same.tolist() == want
