@@ -422,3 +422,52 @@ def test_diagonals_beyond_a_text_match_nothing(begin):
     same = substring._lanes(b, begin, len(a), 6, a) == a
     want = [[0 <= begin + r + i < len(b) and b[begin + r + i] == a[i] for i in range(len(a))] for r in range(6)]
     assert same.tolist() == want
+
+def fuzzy_among_pieces(cases, seed, more=2):
+    """Texts of which each case's last repeats 60 words of another but for 8 of them, each of its shingles in others before and between too."""
+    r = random.Random(seed)
+    texts, pairs = [], []
+    for c in range(cases):
+        passage = prose(60, r)
+        other = list(passage)
+        for i in r.sample(range(1, 59), 8):
+            other[i] = f"changed{c}x{i}"
+        pieces = [other[i : i + 20] for i in (0, 14, 28, 40)] * more
+        own = [*pieces, passage, *pieces, other]
+        pairs.append((len(texts) + len(own) - 1, len(texts) + len(pieces)))
+        texts += [" ".join(prose(40, r) + p + prose(40, r)) for p in own]
+    return texts, pairs
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fuzzy_passages_among_pieces(spark, monkeypatch, hot):
+    if hot:
+        for name, value in (("TRIED", 1), ("HOT_LEAST", 3), ("SALTS", 4)):
+            monkeypatch.setattr(substring, name, value)
+    texts, pairs = fuzzy_among_pieces(40, 41)
+    rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(x.doc_id, x.of_doc_id) for x in rows}
+    assert sum(p in got for p in pairs) >= 38
+    assert all(x.similarity >= 0.8 and x.end_word - x.start_word >= 50 for x in rows)
+
+
+def test_contexts_of_a_passage_are_alike():
+    r = random.Random(42)
+    n = substring.BESIDE * 2 + substring.K
+    rows = []
+    for _ in range(300):
+        a = [r.randrange(1, 40) for _ in range(n)]
+        b = [r.randrange(1, 40) for _ in range(n)]
+        at = r.randrange(5, 51)
+        b[at : at + 50] = a[at : at + 50]
+        for i in r.sample([i for i in range(at, at + 50) if not 50 <= i < 55], 10):
+            b[i] = 99
+        rows += [a, b]
+    around = np.array(rows, np.uint16).view(substring.AROUND).ravel()
+    ord_ = np.arange(len(rows), dtype=np.int64)
+    for size in (len(rows), 50):  # by signatures, and each pair
+        for block in (None, ord_[:size] % 2 == 1, ord_[:size] % 3 == 1):
+            i, j = substring.alike(around[:size], ord_[:size], np.zeros_like(ord_[:size]), ord_[:size] % 2 == 1, block)
+            got = set(zip(i.tolist(), j.tolist(), strict=True))
+            assert all((k + 1, k) in got for k in range(0, size, 2) if block is None or block[k] != block[k + 1])
+            assert all(y < x and x % 2 and (block is None or block[x] != block[y]) for x, y in got)
