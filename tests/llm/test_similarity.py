@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and nearest neighbours against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -471,3 +472,55 @@ def test_contexts_of_a_passage_are_alike():
             got = set(zip(i.tolist(), j.tolist(), strict=True))
             assert all((k + 1, k) in got for k in range(0, size, 2) if block is None or block[k] != block[k + 1])
             assert all(y < x and x % 2 and (block is None or block[x] != block[y]) for x, y in got)
+
+
+def test_contexts_that_go_on_only_by_words_of_two_passages():
+    r = random.Random(43)
+    n, K = substring.BESIDE * 2 + substring.K, substring.K
+    passage = [r.randrange(1, 120) for _ in range(60)]
+    # the passage ends three words behind the seed; those that follow differ, or go on for two words
+    text = lambda tail: (passage[-(substring.BESIDE + K + 3) :] + tail + [r.randrange(120, 250) for _ in range(n)])[:n]
+    rows = [text([]), text([251, 252]), text([253]), text([251, 252])]
+    around = np.array(rows, np.uint8).view(substring.NARROW).ravel()
+    ord_ = np.arange(4, dtype=np.int64)
+    behind = np.full(4, 4, np.uint8)  # the fourth word behind the seed is open
+    for sides, want in ((behind, {(3, 1)}), (np.full(4, substring.INSIDE), {(i, j) for i in range(4) for j in range(i)})):
+        i, j, new = substring.alike(around, ord_, np.zeros_like(ord_), sides > 0, None, sides)
+        assert set(zip(i[new].tolist(), j[new].tolist(), strict=True)) == want
+        (grouped,) = substring.alike_in_groups(np.array([0]), np.array([4]), around, ord_, np.zeros_like(ord_), sides)
+        assert set(zip(*(c[grouped[2]].tolist() for c in grouped[:2]), strict=True)) == want
+
+
+def test_straight_chains_align_as_one_by_one():
+    r = random.Random(44)
+    texts, chains = [], []
+    for c in range(200):
+        a = [r.randrange(1, 500) for _ in range(r.randrange(20, 260))]
+        b = [r.randrange(1, 500) for _ in range(r.randrange(9))] + [x if r.random() < 0.85 else 0 for x in a]
+        d, x = len(b) - len(a), r.randrange(len(a) - 10)
+        b[x + d : x + d + 5] = a[x : x + 5]
+        if c % 3 == 0:  # words that only one of them has
+            b[x + d + 7 : x + d + 7] = [501] * r.randrange(1, 6)
+        texts.append((np.array(a, np.uint32), np.array([y or 600 for y in b], np.uint32)))
+        chains.append((x, d))
+    n, nb = (np.array([len(t[i]) for t in texts]) for i in (0, 1))
+    x, d = (np.array(c) for c in zip(*chains, strict=True))
+    turns, found = substring.straight(*(np.concatenate(t) for t in zip(*texts, strict=True)), np.cumsum(n) - n, n, np.cumsum(nb) - nb, nb, x, x, d)
+    assert 0 < turns.sum() < 200
+    for c, (a, b) in enumerate(texts):
+        want = substring.align(a.astype(np.int64), b.astype(np.int64), x[c : c + 1], x[c : c + 1] + d[c])
+        if not turns[c]:
+            assert want == (substring._stretches(found[c], np.arange(n[c]) + d[c]) if c in found else [])
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from tarn.llm.shared import CLEANUP, cut
+
+    files = lambda: sum("shuffle_" in str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    setting, before = spark.conf.get(CLEANUP, None), files()
+    done = cut(spark.range(10000).repartition(5, "id"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and done.count() == 10000 and spark.conf.get(CLEANUP, None) == setting
