@@ -491,6 +491,60 @@ def test_contexts_that_go_on_only_by_words_of_two_passages():
         assert set(zip(*(c[grouped[2]].tolist() for c in grouped[:2]), strict=True)) == want
 
 
+def test_contexts_of_a_common_line_are_not_compared_by_pairs(monkeypatch):
+    r = random.Random(44)
+    n, cases = substring.BESIDE * 2 + substring.K, 100
+    line = [r.randrange(1, 250) for _ in range(13)]
+    rows, pairs = [], []
+    for c in range(2000):
+        row = [r.randrange(1, 250) for _ in range(n)]
+        if c >= 2000 - cases:  # repeats 60 words of an earlier one but for 8
+            pairs.append((c, c - 1000))
+            row[20:80] = rows[c - 1000][20:80]
+            for i in (24, 29, 34, 40, 45, 63, 68, 74):
+                row[i] = 255
+        row[47:60] = line
+        rows.append(row)
+    around = np.array(rows, np.uint8).view(substring.NARROW).ravel()
+    ord_ = np.arange(len(rows), dtype=np.int64)
+    looked, sure = [0], substring._sure
+    monkeypatch.setattr(substring, "_sure", lambda a, s, i, j: looked.append(len(i)) or sure(a, s, i, j))
+    sides = np.full(len(rows), substring.INSIDE)
+    for block in (None, ord_ % 2000 < 1000):
+        i, j, new = substring.alike(around, ord_, np.zeros_like(ord_), sides > 0, block, sides)
+        got = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert got >= set(pairs) and new.all()
+        assert all(y < x and (block is None or block[x] != block[y]) for x, y in got)
+    assert sum(looked) < 2000  # of 2 million pairs, of which the signatures alone leave tens of thousands
+
+
+def test_contexts_of_no_passage_long_enough_are_not_linked():
+    r = random.Random(45)
+    n, mid = substring.BESIDE * 2 + substring.K, substring.BESIDE
+    other = lambda low: [r.randrange(low, low + 60) for _ in range(n)]
+    cases = []
+    for size, want in ((30, False), (42, False), (50, True), (70, True)):
+        for at in (mid - 20, mid, mid + substring.K - size):  # equal words, and unlike ones on either side
+            a, b = other(1), other(70)
+            a[max(at, 0) : at + size] = b[max(at, 0) : at + size] = [250 - i % 100 for i in range(max(at, 0), min(at + size, n))]
+            cases.append((a, b, want))
+    around = np.array([c for a, b, _ in cases for c in (b, a)], np.uint8).view(substring.NARROW).ravel()
+    there = np.arange(0, 2 * len(cases), 2)
+    assert substring._reaches(around, there + 1, there)[0].tolist() == [want for *_, want in cases]
+
+
+def test_best_links_first_and_others_for_open_words_only():
+    late, early = np.array([9, 9, 9, 9, 9, 7]), np.array([1, 2, 3, 4, 5, 1])
+    before, behind = np.array([0, 3, 9, 9, 1, 0], np.uint8), np.array([8, 9, 0, 1, 2, 0], np.uint8)
+    assert substring._best(late, early, before, behind).tolist() == [True, True, True, True, False, True]
+    # seeds of two documents at words 10 and 30 with five words before and twenty behind at most
+    rest = [np.array(c, k) for c, k in zip(([5, 5, 6], [0, 0, 0], [10, 30, 10], [1, 1, 1], [0, 0, 0], [2, 2, 2], [5, 5, 5], [20, 20, 20]), substring.TYPES[substring.REST], strict=True)]
+    span = lambda *rows: [np.array(c, k) for c, k in zip(zip(*rows, strict=True), substring.TYPES[substring.SPAN], strict=True)]
+    assert substring.still_open(rest, span((5, 0, 0, 40, 1), (5, 0, 5, 35, 2))).tolist() == [False, True, True]
+    assert substring.still_open(rest, span((5, 0, 0, 40, 1), (5, 0, 6, 35, 2))).tolist() == [True, True, True]
+    assert substring.still_open(rest, span((5, 0, 0, 60, 1), (5, 0, 0, 60, 1))).tolist() == [True, True, True]  # one passage twice
+
+
 def test_straight_chains_align_as_one_by_one():
     r = random.Random(44)
     texts, chains = [], []
