@@ -80,7 +80,9 @@ query("corr_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a
 query("corr_target", " UNION ALL ".join(f"SELECT '{x}' AS column, corr({x}, score) AS corr FROM panel" for x in _NUM[:-1]), lambda s, d: summaries.correlations_with(panel(s, d), _NUM[:-1]), "corr")
 _LAGS = [(x, k) for x in COLS for k in (1, 7, 14, 30, 60)]
 _LAG_TABLE = f"(SELECT score, {', '.join(f'lag({x}, {k}) OVER o AS {x}_lag{k}' for x, k in _LAGS)} FROM panel WINDOW o AS (PARTITION BY region_id ORDER BY ordinal))"
-query("corr_lags", " UNION ALL ".join(f"SELECT '{x}_lag{k}' AS column, corr({x}_lag{k}, score) AS corr FROM {_LAG_TABLE}" for x, k in _LAGS), lambda s, d: summaries.correlations_with(summaries.lagged(panel(s, d), COLS, (1, 7, 14, 30, 60)), [f"{x}_lag{k}" for x, k in _LAGS]), "corr")
+# the reference's six columns and its lags of a day to three weeks, beside those of the feature sets
+_LAGGED, _STEPS = (*COLS, "tmp_range", "surf_pre"), (1, 3, 7, 14, 21, 30, 60)
+query("corr_lags", " UNION ALL ".join(f"SELECT '{x}_lag{k}' AS column, corr(x, score) AS corr FROM (SELECT score, lag({x}, {k}) OVER (PARTITION BY region_id ORDER BY ordinal) AS x FROM panel)" for x in _LAGGED for k in _STEPS), lambda s, d: summaries.correlations_with(summaries.lagged(panel(s, d), _LAGGED, _STEPS), [f"{x}_lag{k}" for x in _LAGGED for k in _STEPS]), "corr")
 query("topk_abs", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{x}_lag{k}' AS column, corr({x}_lag{k}, score) AS corr FROM {_LAG_TABLE}" for x, k in _LAGS) + ") ORDER BY abs(corr) DESC, 1 LIMIT 10", lambda s, d: summaries.top_by_size(summaries.correlations_with(summaries.lagged(panel(s, d), COLS, (1, 7, 14, 30, 60)), [f"{x}_lag{k}" for x, k in _LAGS]), "corr", 10), "corr")
 _NOW = [(x, f, n) for x in COLS for f, n in (("avg", "mean"), ("stddev_samp", "std"))]
 _NOW_TABLE = f"(SELECT score, {', '.join(f'{agg(f, x, -6, 0, 1)} AS {x}_now7_{n}' for x, f, n in _NOW)} FROM panel)"

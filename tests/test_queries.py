@@ -31,6 +31,13 @@ def test_matches_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+def test_lags_of_all_columns(spark):
+    """The reference's six columns and five lags, and every one that the query had before."""
+    got = {r.column for r in QUERIES["corr_lags"](spark, SF).collect()}
+    assert got >= {f"{x}_lag{k}" for x in ("tmp", "tmp_range", "prec", "wind", "surf_pre", "humidity") for k in (1, 3, 7, 14, 21)}
+    assert got >= {f"{x}_lag{k}" for x in ("prec", "tmp", "humidity", "wind") for k in (1, 7, 14, 30, 60)}
+
+
 @pytest.mark.parametrize("name", ["gbt_lgb", "gbt_cat", "extra_trees", "chain", "clf_hurdle", "importance_groups", "best_iter", "multi_seed_models", "weights_guard", "fx_synth", "clf_drift", "perm_importance", "tune"])
 def test_models_run(spark, name):
     rows = QUERIES[name](spark, SF).collect()
